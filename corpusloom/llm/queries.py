@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, dedup
+from . import decontam, dedup, langid, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,23 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages alike: pages have the markup and address that documents lack."""
+    documents = langid.records_of_documents(_table(spark, sf_dir, "documents"))
+    return langid.identify(documents.unionByName(langid.records_of_pages(_table(spark, sf_dir, "pages"))), ["doc_id", "page_id"])
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op8_benchmark_leaks)}
-ORACLE_SQL = {"op8_benchmark_leaks": decontam.SQL}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_quality, op3_language, op6_packing, op8_benchmark_leaks)}
+ORACLE_SQL = {"op3_language": langid.SQL, "op8_benchmark_leaks": decontam.SQL}
