@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 WORD_PATTERN = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: DuckDB: the list of words of the column ``text``.
 WORDS_SQL = rf"regexp_extract_all(lower(text), '{WORD_PATTERN}')"
