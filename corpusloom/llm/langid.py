@@ -5,8 +5,9 @@ Classes are the declared languages of the corpus (primary subtags such as ``en``
     log P(l | all) = log P(l | host) + TEMPER * log P(text | l) + log P(declared | l) + log P(suffix | l) + const
 
 * P(text | l): character trigrams of the lower-cased text, hashed to ``BUCKETS``, counted over all records that declare
-  l.  TEMPER is 1/3, as every character is in three trigrams.  ``und`` has the uniform distribution, so a text unlike
-  every language is ``und``.
+  l, and mixed with ``MIXED`` of the uniform distribution.  Only letters and the spaces beside them make trigrams:
+  numbers, addresses and marks are of no language.  TEMPER is 1/3, as every character is in three trigrams.  ``und``
+  has the uniform distribution, so a text unlike every language is ``und``, and a few odd words aren't enough for it.
 * P(declared | l), P(suffix | l): counted over all records by the language that the text alone gives, plus one.
 * P(l | host): counts of the text-only language by host, drawn to those of its domain, drawn to those of all records
   (``PULL`` pseudo-records each); grouped aggregation.  ``und`` has the fixed prior ``UND_PRIOR``.
@@ -15,9 +16,9 @@ Plan.  One pass counts trigrams (each task adds its own counts up first), one pa
 written with the small columns; the rest is on that table.  Texts are never shuffled.  The model sent to the tasks has
 BUCKETS numbers a language.
 
-Defined results: a null or empty text has no text evidence and is ``und``, posterior 1.0; a null or malformed
+Defined results: a text without a letter, an empty or a null one is ``und``, posterior 1.0; a null or malformed
 declaration, address or host is no evidence.  Where no record declares a language there is no model: every record
-with a text gets a null language, posterior null, and is accepted.  Equal posteriors go to the language first in the
+with some text gets a null language, posterior null, and is accepted.  Equal posteriors go to the language first in the
 alphabet.  Repeated rows are records of their own.  Extra columns are carried along if named in ``keys``.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .shared import minus, written
 from .textkit import raw, slices
 
-BUCKETS, ALPHA, PULL, UND_PRIOR, LEAST_POSTERIOR = 8192, 0.5, 10.0, 0.001, 0.5
+BUCKETS, ALPHA, MIXED, PULL, UND_PRIOR, LEAST_POSTERIOR = 8192, 0.5, 0.05, 10.0, 0.001, 0.5
 TEMPER = 1 / 3
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 LANG = r"^([a-z]{2,3})(?:[-_].*)?$"
@@ -75,10 +76,13 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(chars) < 3:
         return np.zeros(0, np.int64), np.zeros(len(n) + 1, np.int64)
     code = (chars[:-2] * 961 + chars[1:-1] * 31 + chars[2:]) % BUCKETS
+    letter = ((chars >= 97) & (chars <= 122)) | (chars >= 128)
+    side = letter | (chars == 32)
     ends = np.cumsum(n)
-    keep = np.ones(len(chars), bool)
+    keep = np.zeros(len(chars), bool)
+    keep[:-2] = side[:-2] & letter[1:-1] & side[2:]
     keep[(ends[n > 0] - 1)] = keep[(ends[n > 0] - 2)] = False
-    return code[keep[:-2]], np.concatenate([[0], np.cumsum(np.maximum(n - 2, 0))])
+    return code[keep[:-2]], np.concatenate([[0], np.cumsum(keep)[ends - 1]])
 
 
 def trigram_counts(records: DataFrame) -> DataFrame:
@@ -136,7 +140,7 @@ def identify(records: DataFrame, keys: list[str]) -> DataFrame:
     counts = np.zeros((len(langs), BUCKETS))
     for r in model:
         counts[langs.index(r["declared"]), r["bucket"]] = r["n"]
-    logp = np.log((counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * BUCKETS))
+    logp = np.log((1 - MIXED) * (counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * BUCKETS) + MIXED / BUCKETS)
     found = written(likelihoods(records, langs, logp, keys), "likelihoods")
     names = F.array(*map(F.lit, langs))
     found = found.withColumn("guess", F.when(F.col("n") > 0, F.element_at(names, F.array_position("text_log", F.array_max("text_log")).cast("int"))))
@@ -187,6 +191,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
 
 
 _Q = "'"
+_LETTER = "({0} BETWEEN 97 AND 122 OR {0} >= 128)"
 SQL = f"""WITH records AS (
   SELECT doc_id, CAST(NULL AS BIGINT) AS page_id, text, nullif(regexp_extract(lower(lang), '{LANG}', 1), '') AS declared, source AS host, CAST(NULL AS VARCHAR) AS domain, CAST(NULL AS VARCHAR) AS suffix FROM documents
   UNION ALL
@@ -194,12 +199,12 @@ SQL = f"""WITH records AS (
   FROM (SELECT page_id, regexp_replace(html, '{MARKUP}', ' ', 'g') AS text, regexp_extract(html, '{HTML_LANG.replace(_Q, _Q * 2)}', 1) AS attr, nullif(regexp_extract(lower(url), '{HOST}', 1), '') AS host FROM pages)),
 r AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM records),
 c AS MATERIALIZED (SELECT k, list_transform(string_split(' ' || lower(text) || ' ', ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM r WHERE length(text) > 0),
-g AS MATERIALIZED (SELECT k, unnest(list_transform(range(1, len(c) - 1), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % {BUCKETS})) AS b FROM c),
+g AS MATERIALIZED (SELECT k, unnest(list_transform(list_filter(range(1, len(c) - 1), lambda i: {_LETTER.format('c[i + 1]')} AND (c[i] = 32 OR {_LETTER.format('c[i]')}) AND (c[i + 2] = 32 OR {_LETTER.format('c[i + 2]')})), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % {BUCKETS})) AS b FROM c),
 gb AS MATERIALIZED (SELECT k, b, count(*) AS n FROM g GROUP BY k, b),
 langs AS MATERIALIZED (SELECT DISTINCT declared AS lang FROM gb JOIN r USING (k) WHERE declared IS NOT NULL),
 tot AS (SELECT declared AS lang, sum(n) AS n FROM gb JOIN r USING (k) WHERE declared IS NOT NULL GROUP BY 1),
 cnt AS (SELECT declared AS lang, b, sum(n) AS n FROM gb JOIN r USING (k) WHERE declared IS NOT NULL GROUP BY 1, 2),
-logp AS MATERIALIZED (SELECT lang, b, ln((coalesce(cnt.n, 0) + {ALPHA}) / (tot.n + {ALPHA * BUCKETS})) AS lp FROM langs CROSS JOIN (SELECT DISTINCT b FROM gb) JOIN tot USING (lang) LEFT JOIN cnt USING (lang, b)),
+logp AS MATERIALIZED (SELECT lang, b, ln({1 - MIXED} * (coalesce(cnt.n, 0) + {ALPHA}) / (tot.n + {ALPHA * BUCKETS}) + {MIXED} / {BUCKETS}.0) AS lp FROM langs CROSS JOIN (SELECT DISTINCT b FROM gb) JOIN tot USING (lang) LEFT JOIN cnt USING (lang, b)),
 text_log AS MATERIALIZED (SELECT k, lang, sum(gb.n * lp) / 3 AS t, sum(gb.n) AS n FROM gb JOIN logp USING (b) GROUP BY k, lang),
 guess AS MATERIALIZED (SELECT k, arg_max(lang, t) AS guess FROM text_log GROUP BY k),
 cells AS MATERIALIZED (SELECT guess, declared, host, domain, suffix, count(*) AS n FROM guess JOIN r USING (k) GROUP BY ALL),
