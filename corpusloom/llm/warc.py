@@ -11,7 +11,7 @@ file system by blocks, with memory for one record and one block.  Files are spre
 source.  Nothing is shuffled.
 
 Defined results: an empty file has neither records nor gaps.  A file without any valid record is one gap.  Bytes of an
-unfinished last record are a gap up to the end of the file.  White space between plain records is no gap.  A record
+unfinished last record are a gap up to the end of the file.  Line ends between records are no gap.  A record
 without a target address has a null one.  Equal records are all returned.
 """
 
@@ -135,7 +135,7 @@ def salvaged(file: File, name: str) -> Iterator[tuple]:
     """Rows of SCHEMA: the records and gaps of a file in order."""
     at, gap = 0, None
     while at < file.size:
-        if gap is None and file.read(at, 2) in (b"\r\n", b"\n"):
+        if gap is None and file.read(at, 1) in (b"\r", b"\n"):
             at += 1
             continue
         try:
@@ -155,7 +155,7 @@ def salvaged(file: File, name: str) -> Iterator[tuple]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records and gaps of all files in ``path``, which every executor must reach under the same name."""
+    """Records and gaps of the files ``*.warc`` and ``*.warc.gz`` in ``path``, which every executor must reach under the same name."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("path", "length").mapInArrow(read, SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("path", "length").mapInArrow(read, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -198,6 +198,9 @@ def write_warc(pages: DataFrame, path: str, damage: bool = False) -> None:
     A file is written under a name of its attempt and then renamed, so a repeated task leaves one whole file.
     """
 
+    there, inside = pyarrow.fs.FileSystem.from_uri(path)
+    there.create_dir(inside, recursive=True)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part = task.partitionId()
@@ -236,6 +239,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     path = fresh(pages.sparkSession, "warc")
     write_warc(pages, path, damage=True)
-    found = read_warc(pages.sparkSession, path + "/*.warc*")
+    found = read_warc(pages.sparkSession, path)
     page = F.nullif(F.regexp_extract("record_id", "<urn:page:([0-9-]*)>", 1), F.lit("")).cast("long")
     return found.select("kind", page.alias("page_id"), "url", F.decode("block", "UTF-8").alias("html"), "file", "start", "length", "reason")
