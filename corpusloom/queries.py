@@ -1,6 +1,514 @@
-"""Queries over the driver's tables for the reference's operators, with their SQL twins."""
+"""Queries over the driver's tables, one for each operator that tables can show, with the SQL that gives the same rows.
+
+Each reads whole tables.  The driver's tables stand in for code: documents for files, part and supplier for symbols and
+modules, region to orders for a graph, lineitem for calls, events for cached answers, conversations for questions.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import classify as C
+from .functions import text as T
+from .functions import vectors as V
+from .operators import cache, checksum, chunks, diagnostics, graph, indices, patterns, retrieve, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of a folder by name; a table is read when it is asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables as a query, with its SQL twin."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# --- files and lines -------------------------------------------------------------------------------------------------
+
+_LINES = "(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END)"
+
+
+@query(f"SELECT lang, count(*) AS files, CAST(sum({_LINES}) AS BIGINT) AS loc, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY lang")
+def file_totals(t: Tables) -> DataFrame:
+    return t.documents.groupBy("lang").agg(F.count("*").alias("files"), F.sum(T.count_lines(F.col("text"))).cast("long").alias("loc"), F.sum(F.octet_length("text")).cast("long").alias("bytes"))
+
+
+@query(f"SELECT doc_id, CAST({_LINES} AS BIGINT) AS loc FROM documents")
+def line_count(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.count_lines(F.col("text")).cast("long").alias("loc"))
+
+
+_SPLIT = "SELECT doc_id, unnest(string_split(regexp_replace(text, '\\n$', ''), chr(10))) AS text, generate_subscripts(string_split(regexp_replace(text, '\\n$', ''), chr(10)), 1) AS line FROM documents WHERE text <> ''"
+
+
+@query(f"SELECT doc_id, CAST(line AS INTEGER) AS line, trim(regexp_extract(text, '(?i)(that|licensed|los)[: ]+(.*)', 2)) AS text, CASE WHEN regexp_matches(lower(text), 'critical|urgent') THEN 'high' WHEN regexp_matches(lower(text), 'minor|low') THEN 'low' ELSE 'medium' END AS priority FROM ({_SPLIT}) WHERE regexp_matches(text, '(?i)(that|licensed|los)[: ]+(.*)')")
+def todo_scan(t: Tables) -> DataFrame:
+    return patterns.todos(t.documents, "doc_id", "text", "(?i)(that|licensed|los)[: ]+(.*)")
+
+
+_NOTES = [("password_handling", "password"), ("sensitive_data", "token|secret|api_key"), ("contact", r"[a-z0-9.]+@[a-z0-9.]+"), ("license", "licensed under")]
+
+
+@query("SELECT doc_id, CAST(line AS INTEGER) AS line, note_type, trim(text) AS description FROM (" + _SPLIT + ") JOIN (VALUES " + ", ".join(f"('{n}', '(?i){p}')" for n, p in _NOTES) + ") AS p(note_type, pattern) ON regexp_matches(text, pattern)")
+def pattern_notes(t: Tables) -> DataFrame:
+    return patterns.pattern_notes(t.documents, _NOTES, "doc_id", "text")
+
+
+# --- indices and graphs ----------------------------------------------------------------------------------------------
+
+
+@query('SELECT event_type AS key, list_sort(list(DISTINCT event_id)) AS "values" FROM events GROUP BY 1')
+def name_index(t: Tables) -> DataFrame:
+    return indices.inverted(t.events, F.col("event_type"), F.col("event_id"))
+
+
+@query('SELECT l_partkey AS key, list_sort(list(DISTINCT l_orderkey)) AS "values" FROM lineitem GROUP BY 1')
+def reverse_index(t: Tables) -> DataFrame:
+    return indices.inverted(t.lineitem, F.col("l_partkey"), F.col("l_orderkey"))
+
+
+@query('SELECT key, list_sort(list(DISTINCT p_partkey)) AS "values" FROM (SELECT p_partkey, unnest(string_split(lower(p_name), \' \')) AS key FROM part) GROUP BY key')
+def tag_index(t: Tables) -> DataFrame:
+    return indices.inverted_tags(t.part, F.split(F.lower("p_name"), " "), F.col("p_partkey"))
+
+
+@query("SELECT l_orderkey, l_linenumber, callee, file, CASE WHEN own THEN file ELSE first END AS defined_in FROM (SELECT l_orderkey, l_linenumber, p_name AS callee, 'f' || l_suppkey AS file, EXISTS (SELECT 1 FROM part q WHERE q.p_name = part.p_name AND 'f' || (q.p_partkey % 100) = 'f' || l_suppkey) AS own, (SELECT min('f' || (q.p_partkey % 100)) FROM part q WHERE q.p_name = part.p_name) AS first FROM lineitem JOIN part ON l_partkey = p_partkey)")
+def resolve_defs(t: Tables) -> DataFrame:
+    file = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    calls = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", F.col("p_name").alias("callee"), file(F.col("l_suppkey")).alias("file"))
+    return graph.resolved(calls, t.part.select(F.col("p_name").alias("name"), file(F.col("p_partkey") % 100).alias("file"))).select("l_orderkey", "l_linenumber", "callee", "file", "defined_in")
+
+
+def _id(kind: str, c: str) -> Column:
+    return F.concat(F.lit(kind), F.col(c).cast("string"))
+
+
+def _edges(t: Tables) -> DataFrame:
+    edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"))
+    return edge(t.nation, _id("r", "n_regionkey"), _id("n", "n_nationkey")).unionByName(edge(t.customer, _id("n", "c_nationkey"), _id("c", "c_custkey"))).unionByName(edge(t.orders, _id("c", "o_custkey"), _id("o", "o_orderkey"))).unionByName(edge(t.supplier, _id("n", "s_nationkey"), _id("s", "s_suppkey")))
+
+
+def _nodes(t: Tables) -> DataFrame:
+    node = lambda df, kind, key, name: df.select(_id(kind, key).alias("id"), F.lit(kind).alias("node_type"), F.col(name).cast("string").alias("name"))
+    return graph.distinct_nodes(node(t.region, "r", "r_regionkey", "r_name"), node(t.nation, "n", "n_nationkey", "n_name"), node(t.customer, "c", "c_custkey", "c_name"), node(t.orders, "o", "o_orderkey", "o_orderpriority"), node(t.supplier, "s", "s_suppkey", "s_name"))
+
+
+_E = "e AS MATERIALIZED (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier)"
+_N = "n AS (SELECT 'r' || r_regionkey AS id, 'r' AS node_type, r_name AS name FROM region UNION SELECT 'n' || n_nationkey, 'n', n_name FROM nation UNION SELECT 'c' || c_custkey, 'c', c_name FROM customer UNION SELECT 'o' || o_orderkey, 'o', o_orderpriority FROM orders UNION SELECT 's' || s_suppkey, 's', s_name FROM supplier)"
+
+
+@query(f"WITH {_E}, {_N} SELECT id, node_type, name, coalesce(c, 0) AS call_count_estimate FROM n LEFT JOIN (SELECT dst AS id, count(*) AS c FROM e GROUP BY 1) USING (id)")
+def graph_nodes(t: Tables) -> DataFrame:
+    return graph.in_degrees(_nodes(t), _edges(t))
+
+
+@query(f"WITH {_E} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")
+def graph_edges(t: Tables) -> DataFrame:
+    return _edges(t).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_E} SELECT DISTINCT src AS id, dst AS neighbour FROM e WHERE src IN (SELECT 'n' || n_nationkey FROM nation)")
+def neighbours_out(t: Tables) -> DataFrame:
+    return graph.neighbours(_edges(t), t.nation.select(_id("n", "n_nationkey").alias("id")))
+
+
+@query(f"WITH {_E} SELECT DISTINCT dst AS id, src AS neighbour FROM e WHERE dst IN (SELECT 'c' || c_custkey FROM customer)")
+def neighbours_in(t: Tables) -> DataFrame:
+    return graph.neighbours(_edges(t), t.customer.select(_id("c", "c_custkey").alias("id")), "in")
+
+
+@query(f"WITH RECURSIVE {_E}, w AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS id, 0 AS depth FROM region UNION ALL SELECT root, dst, depth + 1 FROM w JOIN e ON src = id WHERE depth < 3) SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE depth > 0 GROUP BY root, id")
+def transitive_deps(t: Tables) -> DataFrame:
+    return graph.transitive_dependencies(_edges(t), t.region.select(_id("r", "r_regionkey").alias("id")), 2)
+
+
+@query(f"WITH RECURSIVE {_E}, w AS (SELECT 'r' || r_regionkey AS id, 0 AS depth FROM region UNION ALL SELECT dst, depth + 1 FROM w JOIN e ON src = id WHERE depth < 50) SELECT CAST(max(depth) AS INTEGER) AS max_depth, count(*) AS reached FROM (SELECT id, min(depth) AS depth FROM w GROUP BY id)")
+def max_depth(t: Tables) -> DataFrame:
+    return graph.shortest_depths(_edges(t), t.region.select(_id("r", "r_regionkey").alias("id"))).agg(F.max("depth").alias("max_depth"), F.count("*").alias("reached"))
+
+
+@query("SELECT p_brand AS name, list_sort(list(DISTINCT 'f' || l_suppkey)) AS used_by, count(DISTINCT l_suppkey) AS import_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def external_deps(t: Tables) -> DataFrame:
+    imports = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("module"), _id("f", "l_suppkey").alias("path"), F.lit("external").alias("type"))
+    return indices.external_dependencies(imports)
+
+
+@query("SELECT l_partkey AS callee, list_sort(list(DISTINCT {'function': l_orderkey, 'file': 'f' || l_suppkey, 'line': l_linenumber})) AS called_by FROM lineitem GROUP BY 1")
+def called_by(t: Tables) -> DataFrame:
+    return graph.callers(t.lineitem.select(F.col("l_partkey").alias("callee"), F.col("l_orderkey").alias("caller"), _id("f", "l_suppkey").alias("file"), F.col("l_linenumber").alias("line")))
+
+
+@query("WITH x AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0) SELECT s_suppkey, s_name FROM x WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
+def entry_point_functions(t: Tables) -> DataFrame:
+    return t.supplier.where("s_acctbal > 0").select("s_suppkey", "s_name").join(t.lineitem.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey")), "s_suppkey", "left_semi")
+
+
+# --- names, paths and tags -------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(p, 'test|spec') THEN 'Tests' WHEN regexp_matches(p, 'auth|login') THEN 'Authentication' WHEN regexp_matches(p, 'api|route|endpoint') THEN 'API' WHEN regexp_matches(p, 'util|helper') THEN 'Utilities' WHEN regexp_matches(p, 'model|schema') THEN 'Data Models' WHEN regexp_matches(p, 'view|component|ui/') THEN 'User Interface' ELSE 'Other' END AS category FROM (SELECT page_id, lower(url) AS p FROM pages)")
+def classify_path(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", patterns.category(F.col("url")).alias("category"))
+
+
+@query("SELECT snake, camel, CASE WHEN snake > camel THEN 'snake_case' ELSE 'camelCase' END AS convention FROM (SELECT count(*) FILTER (contains(name, '_')) AS snake, count(*) FILTER (regexp_matches(name, '[a-z][A-Z]')) AS camel FROM (SELECT replace(p_name, ' ', '_') AS name FROM part UNION ALL SELECT c_name FROM customer))")
+def naming_convention(t: Tables) -> DataFrame:
+    return patterns.naming(t.part.select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")).unionByName(t.customer.select(F.col("c_name").alias("name"))))
+
+
+@query("SELECT CASE WHEN bool_or(regexp_matches(p, '/src/')) AND bool_or(regexp_matches(p, '/tests?/')) THEN 'standard' WHEN bool_or(regexp_matches(p, '/src/')) THEN 'src-based' ELSE 'flat' END AS structure, CASE WHEN bool_or(regexp_matches(p, 'controller')) AND bool_or(regexp_matches(p, 'service')) AND bool_or(regexp_matches(p, 'repositor|/dal/|/data/')) THEN 'layered' WHEN bool_or(regexp_matches(p, 'model')) AND bool_or(regexp_matches(p, 'view')) AND bool_or(regexp_matches(p, 'controller')) THEN 'mvc' WHEN count(*) FILTER (regexp_matches(p, 'service')) > 3 THEN 'microservices' END AS architecture FROM (SELECT lower(url) AS p FROM pages)")
+def project_structure(t: Tables) -> DataFrame:
+    return patterns.structure(t.pages.select(F.col("url").alias("path")))
+
+
+def _tag_sql() -> str:
+    rules = [f"CASE WHEN regexp_matches(n, '{p}') THEN '{tag}' END" for tag, p in T.NAME_TAGS.items()]
+    rules += ["CASE WHEN n IN ('main', 'run', 'start') THEN 'entry-point' END", "CASE WHEN regexp_matches(n, '^(test|bench)') THEN 'testing' END"]
+    return "SELECT p_partkey, list_sort(list_distinct(list_filter([" + ", ".join(rules) + "], lambda x: x IS NOT NULL))) AS tags FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS n FROM part)"
+
+
+@query(_tag_sql())
+def tag_rules(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", T.name_tags(F.concat_ws(" ", "p_name", "p_type")).alias("tags"))
+
+
+@query("SELECT c_custkey AS id, list_transform(regexp_extract_all(c_name || replace(c_mktsegment, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x)) AS tokens FROM customer UNION ALL SELECT p_partkey, list_transform(regexp_extract_all(replace(p_type, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x)) FROM part")
+def identifier_tokens(t: Tables) -> DataFrame:
+    a = t.customer.select(F.col("c_custkey").alias("id"), T.identifier_tokens(F.concat("c_name", F.replace("c_mktsegment", F.lit(" "), F.lit("_")))).alias("tokens"))
+    return a.unionByName(t.part.select(F.col("p_partkey").alias("id"), T.identifier_tokens(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("tokens")))
+
+
+_FUZZY = """WITH q AS (SELECT s_suppkey AS query_id, lower(s_name) AS p FROM supplier), x AS (SELECT DISTINCT lower(p_name) AS t FROM part),
+s AS (SELECT query_id, t, CASE WHEN p = t THEN 1000 WHEN contains(t, p) THEN 500 ELSE 10 * len(list_filter(range(1, 1 + least(length(p), length(t))), lambda i: p[i] = t[i])) + 2 * list_sum(list_transform(list_distinct(string_split(p, '')), lambda c: least(length(p) - length(replace(p, c, '')), length(t) - length(replace(t, c, ''))))) - abs(length(t) - length(p)) END AS score FROM q CROSS JOIN x)
+SELECT query_id, name, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, t AS name, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, t) AS rank FROM s WHERE score > 0) WHERE rank <= 5"""
+
+
+@query(_FUZZY)
+def fuzzy_topk(t: Tables) -> DataFrame:
+    """The five names of parts most like each supplier's name: fuzzy search of many names at once."""
+    q = t.supplier.select(F.col("s_suppkey").alias("query_id"), F.lower("s_name").alias("p"))
+    names = t.part.select(F.lower("p_name").alias("name")).distinct()
+    scored = names.crossJoin(q).select("query_id", "name", T.fuzzy_score(F.col("p"), F.col("name")).cast("int").alias("score")).where("score > 0")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+
+
+# --- questions -------------------------------------------------------------------------------------------------------
+
+
+def _classify_sql() -> str:
+    q = "'"
+    rules = [f"WHEN regexp_matches(q, '{C.pattern_of(k).replace(q, q * 2)}') THEN '{k}'" for k, *_ in C.PATTERNS]
+    words = lambda terms: "(" + " OR ".join(f"contains(q, '{w}')" for w in terms.split("|")) + ")"
+    rules += [
+        f"WHEN n >= 2 AND {words('difference|compare|vs|similar')} THEN 'comparison'", f"WHEN n = 1 AND {words('where|find|locate|show')} THEN 'location'",
+        f"WHEN n = 1 AND {words('calls|uses|invokes|called by|used by')} THEN 'usage'", f"WHEN n = 1 AND {words('example|how to use|sample')} THEN 'example'", "WHEN n > 1 THEN 'understanding'",
+    ]
+    rules += [f"WHEN {words(w)} THEN '{k}'" for k, _, _, w in C.WORDS]
+    common = ", ".join(f"'{w}'" for w in C.COMMON)
+    return f"SELECT conv_id, turn, CASE {' '.join(rules)} ELSE 'understanding' END AS type, CAST(n AS INTEGER) AS symbols FROM (SELECT conv_id, turn, lower(trim(text)) AS q, len(list_distinct(list_filter(regexp_extract_all(text, '{C.SYMBOL}'), lambda w: lower(w) NOT IN ({common})))) AS n FROM conversations WHERE role = 'user')"
+
+
+@query(_classify_sql())
+def question_types(t: Tables) -> DataFrame:
+    c = t.conversations.where("role = 'user'").select("conv_id", "turn", C.classify(F.col("text")).alias("c"))
+    return c.select("conv_id", "turn", F.col("c.answer.type").alias("type"), F.size("c.symbols").alias("symbols"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+
+
+@query(f"SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda w: strlen(w) > 2 AND NOT list_contains({_STOP}, w)) AS keywords FROM conversations")
+def question_keywords(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", C.keywords(F.col("text")).alias("keywords"))
+
+
+_MARKS = T.PUNCTUATION.replace("'", "''")
+
+
+@query(f"SELECT conv_id, turn, list_sort(list_distinct(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: trim(w, '{_MARKS}')), lambda w: strlen(w) > 2), lambda w: list_concat([w], list_transform(regexp_extract_all(w, '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x))))))) AS symbols FROM conversations")
+def question_symbols(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", F.array_sort(T.symbol_candidates(F.col("text"))).alias("symbols"))
+
+
+_NSTOP = "[" + ", ".join(f"'{w}'" for w in T.NAME_STOP_WORDS) + "]"
+
+
+@query(f"SELECT conv_id, turn, coalesce(list_filter(w, lambda x: regexp_matches(x, '^[A-Z].*[a-z]') OR contains(x, '_'))[1], w[1], '') AS entity FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '' AND NOT list_contains({_NSTOP}, lower(x))) AS w FROM conversations)")
+def question_entity(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", T.entity_name(F.col("text")).alias("entity"))
+
+
+@query("SELECT conv_id, turn, CAST(floor((8192 - strlen(text) // 4 - 150 - 200 - 2000) * 0.85) AS BIGINT) AS budget FROM conversations")
+def context_budget(t: Tables) -> DataFrame:
+    return t.conversations.select("conv_id", "turn", retrieve.budget(F.col("text")).alias("budget"))
+
+
+# --- vectors ---------------------------------------------------------------------------------------------------------
+
+
+def _query_vector(t: Tables) -> list[float]:
+    return t.embeddings.where("vec_id = 0").first()["embedding"]
+
+
+_SIM = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
+
+
+@query(f"SELECT vec_id, label, round({_SIM}, 5) AS score FROM embeddings ORDER BY {_SIM} DESC, vec_id LIMIT 10")
+def vector_topk(t: Tables) -> DataFrame:
+    return search.top_k(t.embeddings, _query_vector(t), 10, "vec_id").select("vec_id", "label", F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT vec_id, label, round({_SIM}, 5) AS score FROM embeddings WHERE label IN (1, 2, 3) ORDER BY {_SIM} DESC, vec_id LIMIT 10")
+def vector_filtered_topk(t: Tables) -> DataFrame:
+    return search.top_k(t.embeddings, _query_vector(t), 10, "vec_id", where=F.col("label").isin(1, 2, 3)).select("vec_id", "label", F.round("score", 5).alias("score"))
+
+
+@query(f"SELECT vec_id, round({_SIM}, 5) AS score FROM embeddings WHERE {_SIM} >= 0.5 ORDER BY {_SIM} DESC, vec_id LIMIT 50")
+def vector_threshold(t: Tables) -> DataFrame:
+    return search.top_k(t.embeddings, _query_vector(t), 50, "vec_id", threshold=0.5).select("vec_id", F.round("score", 5).alias("score"))
+
+
+@query("WITH q AS (SELECT label AS query_id, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS query FROM embeddings GROUP BY 1) SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) AS score FROM embeddings CROSS JOIN q)) WHERE rank <= 5")
+def vector_topk_each(t: Tables) -> DataFrame:
+    """The five nearest vectors to the first vector of each label, all labels at once."""
+    queries = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
+    return search.top_k_each(t.embeddings, queries, 5, "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm, round(embedding[1] / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS first FROM embeddings")
+def vector_norm(t: Tables) -> DataFrame:
+    return t.embeddings.select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.round(F.get(V.normalized(F.col("embedding")), F.lit(0)), 5).alias("first"))
+
+
+@query("SELECT label, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share FROM embeddings GROUP BY label")
+def index_stats(t: Tables) -> DataFrame:
+    return search.stats(t.embeddings, "label")
+
+
+@query("SELECT round(CAST(sum(len(embedding) * 4 + length(CAST(vec_id AS VARCHAR))) AS DOUBLE) / 1048576, 6) AS size_mb FROM embeddings")
+def index_size(t: Tables) -> DataFrame:
+    return search.size_mb(t.embeddings, "vec_id").select(F.round("size_mb", 6).alias("size_mb"))
+
+
+@query("SELECT 0 AS only_a, 0 AS only_b, 0 AS other_size, CAST(0 AS DOUBLE) AS max_difference")
+def index_compare(t: Tables) -> DataFrame:
+    """An index with itself: no difference."""
+    one = search.compared(t.embeddings, t.embeddings, "vec_id")
+    return one.select(*(F.col(c).cast("int") for c in ("only_a", "only_b", "other_size")), "max_difference")
+
+
+# --- retrieval -------------------------------------------------------------------------------------------------------
+
+_WORDS = ["the", "que", "und", "les", "con", "license"]
+_SCORE = " + ".join(f"CASE WHEN contains(t, '{w}') THEN 2.0 ELSE 0 END + CASE WHEN contains(s, '{w}') THEN 1.0 ELSE 0 END" for w in _WORDS)
+
+
+def _doc_scores(t: Tables) -> DataFrame:
+    none = F.array().cast("array<string>")
+    words = F.array(*map(F.lit, _WORDS))
+    score = retrieve.keyword_score(F.col("lang"), none, F.col("text"), F.col("source"), F.lit("function"), none, words)
+    return t.documents.select(F.lit(1).cast("long").alias("query_id"), "doc_id", "source", "lang", T.estimated_tokens(F.col("text")).alias("tokens"), score.alias("score")).where("score > 0")
+
+
+_KEYWORD = f"SELECT doc_id, source, tokens, h + CASE WHEN h > 0 THEN 1.0 ELSE 0 END AS score FROM (SELECT doc_id, source, strlen(text) // 4 AS tokens, {_SCORE} AS h FROM (SELECT *, lower(text) AS t, lower(source) AS s FROM documents)) WHERE h > 0"
+
+
+@query(f"SELECT doc_id, CAST(score AS DOUBLE) AS score FROM ({_KEYWORD})")
+def keyword_score(t: Tables) -> DataFrame:
+    return _doc_scores(t).select("doc_id", "score")
+
+
+@query("SELECT p_partkey, CASE WHEN list_contains(['red', 'blue', lower(p_name)], lower(p_name)) THEN CAST(100 AS DOUBLE) ELSE 0 END AS score FROM part")
+def exact_match(t: Tables) -> DataFrame:
+    wanted = F.array(F.lit("Red"), F.lit("BLUE"), F.col("p_name"))
+    return t.part.select("p_partkey", retrieve.exact_score(F.col("p_name"), F.split("p_name", " "), wanted).cast("double").alias("score"))
+
+
+@query("WITH x AS (SELECT p_partkey, lower(p_name) AS n, list_transform(regexp_extract_all(replace(p_name, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda y: lower(y)) AS k FROM part), y AS (SELECT p_partkey, list_contains(k, 'a') AS a, list_contains(k, 'e') AS e, list_contains(k, 'part') AS p, contains(replace(n, ' ', '_'), 'a') AS ca, contains(replace(n, ' ', '_'), 'e') AS ce, contains(replace(n, ' ', '_'), 'part') AS cp FROM x), z AS (SELECT p_partkey, p::INT AS n1, p::INT + a::INT AS n2, p::INT + a::INT + e::INT AS n3, * FROM y) SELECT p_partkey, CASE WHEN n3 >= 2 OR (n3 = 1 AND s > 15) THEN s ELSE 0.0 END AS score FROM (SELECT p_partkey, n3, CAST(15 * n3 + CASE WHEN n1 = 0 AND cp THEN 8 ELSE 0 END + CASE WHEN n2 = 0 AND ca THEN 8 ELSE 0 END + CASE WHEN n3 = 0 AND ce THEN 8 ELSE 0 END AS DOUBLE) AS s FROM z)")
+def partial_match(t: Tables) -> DataFrame:
+    wanted = F.array(F.lit("part"), F.lit("a"), F.lit("e"))
+    return t.part.select("p_partkey", retrieve.partial_score(F.replace("p_name", F.lit(" "), F.lit("_")), F.array().cast("array<string>"), wanted).alias("score"))
+
+
+@query(f"""WITH k AS (SELECT doc_id AS id, CAST(score AS DOUBLE) AS keyword FROM ({_KEYWORD}) QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 200), v AS (SELECT vec_id AS id, {_SIM} AS semantic FROM embeddings WHERE {_SIM} >= 0.1),
+m AS (SELECT id, coalesce(keyword, 0) + coalesce(semantic * 0.5, 0) AS score, CASE WHEN keyword IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS match_type FROM k FULL JOIN v USING (id))
+SELECT id, round(score, 5) AS score, match_type FROM m ORDER BY m.score DESC, id LIMIT 100""")
+def hybrid_merge(t: Tables) -> DataFrame:
+    one = F.lit(1).cast("long").alias("query_id")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    words = _doc_scores(t).withColumn("_r", F.row_number().over(best)).where("_r <= 200").select("query_id", F.col("doc_id").alias("id"), "score")
+    vectors = t.embeddings.select(one, F.col("vec_id").alias("id"), V.cosine(F.col("embedding"), F.array(*(F.lit(float(x)) for x in _query_vector(t)))).alias("score")).where("score >= 0.1")
+    none = words.limit(0)
+    return retrieve.merged(none, none, words, vectors).select("id", F.round("score", 5).alias("score"), "match_type")
+
+
+@query("SELECT doc_id, source, CAST(used AS BIGINT) AS used FROM (SELECT doc_id, source, sum(strlen(text) // 4 + 20) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 4764")
+def budget_pack(t: Tables) -> DataFrame:
+    """The shortest documents of each source that fit a budget."""
+    return retrieve.packed(t.documents.withColumn("tokens", T.estimated_tokens(F.col("text"))), F.col("tokens"), F.lit(4764), ["source"], [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "source", F.col("used").cast("long").alias("used"))
+
+
+@query("""WITH s AS (SELECT l_suppkey AS f, CAST(l_orderkey AS BIGINT) AS a, CAST(l_orderkey + l_linenumber AS BIGINT) AS b FROM lineitem), w AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY f ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 5 THEN 0 ELSE 1 END AS new FROM s),
+i AS (SELECT *, sum(new) OVER (PARTITION BY f ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM w) SELECT f AS file, min(a) AS start, max(b) AS "end", count(*) AS n FROM i GROUP BY f, island""")
+def span_merge(t: Tables) -> DataFrame:
+    spans = t.lineitem.select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_linenumber")).cast("long").alias("end"))
+    return retrieve.spans_merged(spans, ["file"])
+
+
+@query(f"SELECT doc_id, round(CAST(score + CASE WHEN count(*) OVER (PARTITION BY source) >= 3 AND count(*) OVER () >= 20 THEN 0.2 ELSE 0 END AS DOUBLE), 5) AS score FROM ({_KEYWORD})")
+def hot_groups(t: Tables) -> DataFrame:
+    scored = _doc_scores(t).select("query_id", F.col("doc_id").alias("id"), F.col("source").alias("file"), "score")
+    return retrieve.hot_files(scored).select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
+
+
+_SCORED = f"x AS (SELECT 'c' || c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS score FROM customer), b AS (SELECT * FROM x ORDER BY score DESC, id LIMIT 20), near AS (SELECT dst AS id, score * 0.9 AS score FROM b JOIN e ON src = id UNION ALL SELECT src, score * 0.9 FROM b JOIN e ON dst = id)"
+
+
+@query(f"WITH {_E}, {_SCORED} SELECT id, round(max(score), 4) AS score FROM (SELECT * FROM x UNION ALL SELECT * FROM near) GROUP BY id")
+def graph_expand(t: Tables) -> DataFrame:
+    scored = t.customer.select(F.lit(1).cast("long").alias("query_id"), _id("c", "c_custkey").alias("id"), F.col("c_acctbal").alias("score"))
+    return retrieve.with_neighbours(scored, _edges(t)).select("id", F.round("score", 4).alias("score"))
+
+
+@query("SELECT location, arg_min(id, {'s': s, 'id': id}) AS id FROM (SELECT 'f' || l_suppkey || ':' || l_orderkey || '-' || (l_orderkey + 2) AS location, l_suppkey AS k, l_orderkey AS a, l_orderkey + 2 AS b FROM lineitem WHERE l_linenumber = 1) JOIN (SELECT l_suppkey AS k2, l_orderkey AS s, l_orderkey + l_linenumber AS e, 'f' || l_suppkey || '-' || l_orderkey || '-' || l_linenumber AS id FROM lineitem) ON k = k2 AND s <= b AND e >= a GROUP BY location")
+def location_lookup(t: Tables) -> DataFrame:
+    line = t.lineitem
+    s = F.col("l_orderkey")
+    text = lambda *c: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in c))
+    pieces = line.select(_id("f", "l_suppkey").alias("file"), s.cast("int").alias("start_line"), (s + F.col("l_linenumber")).cast("int").alias("end_line"), text("f", F.col("l_suppkey").cast("string"), "-", s.cast("string"), "-", F.col("l_linenumber").cast("string")).alias("id"))
+    places = line.where("l_linenumber = 1").select(text("f", F.col("l_suppkey").cast("string"), ":", s.cast("string"), "-", (s + 2).cast("string")).alias("location"))
+    return retrieve.at_location(pieces, places)
+
+
+# --- cache, hashes, reports ------------------------------------------------------------------------------------------
+
+_NOW = "2024-01-20 00:00:00"
+
+
+def _cache(t: Tables) -> DataFrame:
+    return t.events.select(cache.query_hash(F.col("user_id").cast("string")).alias("query_hash"), F.col("user_id").cast("string").alias("query"), F.col("event_id").cast("string").alias("response"), F.col("event_type").alias("checksum_hash"), F.col("ts").alias("created_at"), F.timestamp_add("HOUR", F.lit(24), F.col("ts")).alias("expires_at"))
+
+
+_CACHE = "c AS (SELECT sha256(CAST(user_id AS VARCHAR)) AS query_hash, CAST(user_id AS VARCHAR) AS query, CAST(event_id AS VARCHAR) AS response, event_type AS checksum_hash, ts AS created_at, ts + INTERVAL 24 HOUR AS expires_at FROM events)"
+_LATEST = "l AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY query_hash ORDER BY created_at DESC, response DESC) = 1)"
+
+
+@query(f"WITH {_CACHE}, {_LATEST} SELECT query, response, checksum_hash, created_at FROM l")
+def cache_latest(t: Tables) -> DataFrame:
+    c = _cache(t)
+    return cache.upserted(c.limit(0), c).select("query", "response", "checksum_hash", "created_at")
+
+
+@query(f"WITH {_CACHE}, {_LATEST} SELECT CAST(c_custkey AS VARCHAR) AS query, response FROM customer LEFT JOIN (SELECT * FROM l WHERE checksum_hash = 'purchase' AND expires_at > TIMESTAMP '{_NOW}') v ON sha256(CAST(c_custkey AS VARCHAR)) = query_hash")
+def cache_valid(t: Tables) -> DataFrame:
+    c = _cache(t)
+    latest = cache.upserted(c.limit(0), c)
+    return cache.hits(t.customer.select(F.col("c_custkey").cast("string").alias("query")), latest, F.lit("purchase"), F.lit(_NOW).cast("timestamp")).select("query", "response")
+
+
+@query(f"WITH {_CACHE} SELECT query_hash, response FROM c WHERE checksum_hash = 'view' AND expires_at >= TIMESTAMP '{_NOW}' AND NOT starts_with(query_hash, 'a')")
+def cache_invalidate(t: Tables) -> DataFrame:
+    kept = cache.unexpired(cache.invalidated(_cache(t), F.lit("view")), F.lit(_NOW).cast("timestamp"))
+    return cache.without(kept, "a").select("query_hash", "response")
+
+
+@query(f"WITH {_CACHE} SELECT count(*) AS total, count(*) FILTER (expires_at > TIMESTAMP '{_NOW}') AS valid FROM c")
+def cache_stats(t: Tables) -> DataFrame:
+    return cache.stats(_cache(t), F.lit(_NOW).cast("timestamp"))
+
+
+def _files(t: Tables) -> DataFrame:
+    return t.documents.select(_id("d", "doc_id").alias("path"), F.col("text").alias("content"))
+
+
+@query("SELECT 'd' || doc_id AS path, sha256(text) AS hash, CAST(length(text) - length(replace(text, chr(10), '')) AS BIGINT) AS lines FROM documents")
+def file_hash(t: Tables) -> DataFrame:
+    return checksum.file_hashes(_files(t))
+
+
+@query("WITH f AS (SELECT 'd' || doc_id AS path, sha256(text) AS hash, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents), p AS (SELECT left(sha256(path), 2) AS part, sha256(string_agg(hash, '' ORDER BY path)) AS h, count(*) AS files, sum(lines) AS lines FROM f GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY part)) AS hash, CAST(sum(files) AS BIGINT) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM p")
+def project_hash(t: Tables) -> DataFrame:
+    return checksum.project_hash(checksum.file_hashes(_files(t)))
+
+
+_OLD, _NEW = "SELECT source AS g, n_chars AS k, min(text) AS x FROM documents WHERE lang <> 'de' GROUP BY ALL", "SELECT source AS g, n_chars AS k, max(text) AS x FROM documents WHERE lang <> 'fr' GROUP BY ALL"
+
+
+def _states(t: Tables) -> tuple[DataFrame, DataFrame]:
+    path = F.concat_ws("/", "source", F.col("n_chars").cast("string"))
+    state = lambda without, f: t.documents.where(F.col("lang") != without).groupBy(path.alias("path")).agg(F.sha2(f("text"), 256).alias("hash"))
+    return state("de", F.min), state("fr", F.max)
+
+
+_DIFF = f"d AS (SELECT coalesce(a.g, b.g) || '/' || coalesce(a.k, b.k) AS path, CASE WHEN a.x IS NULL THEN 'added' WHEN b.x IS NULL THEN 'deleted' WHEN a.x <> b.x THEN 'modified' ELSE 'same' END AS change FROM ({_OLD}) a FULL JOIN ({_NEW}) b ON a.g = b.g AND a.k = b.k)"
+
+
+@query(f"WITH {_DIFF} SELECT * FROM d")
+def snapshot_diff(t: Tables) -> DataFrame:
+    return checksum.compared(*_states(t))
+
+
+@query(f"WITH {_DIFF}, s AS (SELECT count(*) FILTER (change <> 'same') / count(*) FILTER (change <> 'added') AS share FROM d) SELECT round(share, 6) AS share, CASE WHEN share > 0.3 THEN 'refuse' WHEN share > 0.1 THEN 'warn' ELSE 'fresh' END AS state FROM s")
+def staleness(t: Tables) -> DataFrame:
+    return checksum.change_share(checksum.compared(*_states(t))).select(F.round("share", 6).alias("share"), checksum.staleness(F.col("share")).alias("state"))
+
+
+@query("SELECT r.n_name AS path FROM nation r ANTI JOIN (SELECT DISTINCT n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < -900) p USING (n_name)")
+def required_missing(t: Tables) -> DataFrame:
+    present = t.customer.where("c_acctbal < -900").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("path"))
+    return checksum.missing(t.nation.select(F.col("n_name").alias("path")), present)
+
+
+@query("""SELECT unnest(['chunks', 'empty', 'short']) AS "check", unnest([CASE WHEN n = 0 THEN 'fail' ELSE 'ok' END, CASE WHEN e > 0 THEN 'fail' ELSE 'ok' END, 'ok']) AS status, unnest([n, e, s]) AS value FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (text IS NULL OR trim(text) = '') AS DOUBLE) AS e, CAST(count(*) FILTER (length(text) < 50) AS DOUBLE) AS s FROM documents)""")
+def quality_report(t: Tables) -> DataFrame:
+    return diagnostics.text_report(t.documents, "text")
+
+
+@query("""SELECT unnest(['dimension', 'small dimension', 'total', 'empty vectors', 'other dimension']) AS "check", unnest(['ok', 'fail', CASE WHEN n <> 500 THEN 'fail' ELSE 'ok' END, CASE WHEN e > 0 THEN 'fail' ELSE 'ok' END, CASE WHEN w > 0 THEN 'fail' ELSE 'ok' END]) AS status, unnest([64.0, 64.0, n, e, w]) AS value FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (embedding IS NULL OR len(embedding) = 0) AS DOUBLE) AS e, CAST(count(*) FILTER (len(embedding) <> 64) AS DOUBLE) AS w FROM embeddings)""")
+def embedding_report(t: Tables) -> DataFrame:
+    return diagnostics.embedding_report(t.embeddings, 500, 64)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(lower(p_type), 'red')")
+def symbol_search(t: Tables) -> DataFrame:
+    return diagnostics.with_symbol(t.part, "RED", ("p_name", "p_type")).select("p_partkey", "p_name")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 400 THEN text WHEN contains(left(text, 397), chr(10)) THEN regexp_replace(left(text, 397), '(?s)\\n[^\\n]*$', '') || '...' ELSE left(text, 397) || '...' END AS content FROM documents")
+def truncate_text(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", T.truncated(F.col("text"), 400).alias("content"))
+
+
+@query("SELECT s_suppkey, '// File: ' || 'f' || s_suppkey || chr(10) || '// Class: ' || s_name || chr(10) || '// Lines: 1-' || n || chr(10) || chr(10) || 'Methods (' || n || '):' || chr(10) || list_aggregate(list_transform(m, lambda x: '  - ' || x.k || CASE WHEN x.a THEN ' (async)' ELSE '' END), 'string_agg', chr(10)) || chr(10) || chr(10) AS content FROM supplier JOIN (SELECT l_suppkey, count(*) AS n, list_sort(list({'k': lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), 'a': l_returnflag = 'A'})) AS m FROM lineitem GROUP BY 1) ON s_suppkey = l_suppkey")
+def chunk_render(t: Tables) -> DataFrame:
+    """Suppliers as classes whose methods are their order lines: the text of a class."""
+    methods = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("name"), (F.col("l_returnflag") == "A").alias("is_async")))).alias("methods"))
+    none = F.array()
+    rows = t.supplier.join(methods, F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", _id("f", "s_suppkey").alias("path"), F.col("s_name").alias("name"), F.lit("").alias("docstring"), F.lit(1).alias("line_start"), F.col("n").alias("line_end"), none.cast("array<string>").alias("bases"), none.cast("array<struct<name:string,type_annotation:string,value:string>>").alias("attributes"), "methods")
+    return rows.select("s_suppkey", chunks.class_text().alias("content"))
+
+
+@query()
+def embed_dummy(t: Tables) -> DataFrame:
+    """A vector for each document that depends on its text alone."""
+    return t.documents.select("doc_id", V.dummy_embedding(F.col("text"), 64).alias("embedding"))
