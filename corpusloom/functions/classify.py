@@ -71,10 +71,10 @@ def _any(text: Column, terms: str) -> Column:
     return text.rlike("|".join(map(re.escape, terms.split("|"))))
 
 
-def classify(question: Column, known: Column | None = None) -> Column:
-    """struct(type, confidence, priority, needs_context, level, symbols) of a question."""
+def classify(question: Column, found: Column | None = None) -> Column:
+    """struct(answer: (type, confidence, priority, needs_context, level), symbols) of a question; ``found``: the names in it, where they have been checked."""
     lower = F.lower(F.trim(question))
-    found = symbols(question, known)
+    found = symbols(question) if found is None else found
     answer = lambda kind, confidence, priority, needs, level: F.struct(F.lit(kind).alias("type"), F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"), F.lit(needs).alias("needs_context"), F.lit(level).alias("level"))
     rules = [(lower.rlike(pattern_of(k)), answer(k, 0.95, p, needs, 1)) for k, p, needs, _ in PATTERNS]
     n = F.size(found)
