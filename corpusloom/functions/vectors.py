@@ -24,11 +24,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     """The vector over its length; unchanged where that is 1e-12 or less."""
-    n = norm(a)
-    return F.when(n > 1e-12, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>"))
+    # The norm is the one element of an array, so it is computed once and not for each number.
+    scaled = F.transform(F.array(norm(a)), lambda n: F.when(n > 1e-12, F.transform(a, lambda x: x.cast("double") / n)).otherwise(a.cast("array<double>")))
+    return F.get(scaled, F.lit(0))
 
 
 def dummy_embedding(text: Column, size: int = 384) -> Column:
     """A unit vector that depends on the text alone, for runs without a model: hashes of (text, place) in [-1, 1]."""
-    raw = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.xxhash64(text, i) / F.lit(float(2**63)))
-    return normalized(raw).cast("array<float>")
+    # The text is hashed once, as the one element of an array, and not for each place.
+    raw = F.transform(F.array(F.xxhash64(text)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.xxhash64(h, i) / F.lit(float(2**63))))
+    return F.get(F.transform(raw, lambda v: normalized(v)), F.lit(0)).cast("array<float>")

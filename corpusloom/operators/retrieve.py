@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+BLOCK = 64
 OVERHEAD, MERGE_GAP, HOT_CANDIDATES, HOT_FILE, HOT_BONUS, NEIGHBOUR = 20, 5, 20, 3, 0.2, 0.9
 
 
@@ -64,7 +65,8 @@ def keyword_score(name: Column, symbols: Column, content: Column, file: Column,
     total = lambda of, value: F.aggregate(of, F.lit(0.0), lambda s, x: s + value(x))
     hits = stops(name, 20.0, 10.0)
     hits = hits + total(symbols, lambda x: stops(x, 15.0, 7.0) + total(words, lambda w: F.when(F.lower(x) == w, 10.0).when(F.contains(F.lower(x), w), 5.0).otherwise(0.0)))
-    hits = hits + total(words, lambda w: F.when(F.contains(F.lower(content), w), 2.0).otherwise(0.0) + F.when(F.contains(F.lower(file), w), 1.0).otherwise(0.0))
+    # The texts are lower-cased once, as the elements of an array, and not for each word.
+    hits = hits + F.aggregate(F.array(F.struct(F.lower(content).alias("c"), F.lower(file).alias("f"))), F.lit(0.0), lambda s, x: s + total(words, lambda w: F.when(F.contains(x["c"], w), 2.0).otherwise(0.0) + F.when(F.contains(x["f"], w), 1.0).otherwise(0.0)))
     bonus = F.when(chunk_type == "function", 1.0).when(chunk_type == "class", 0.8).when(chunk_type == "method", 0.6).otherwise(0.0)
     return hits + (bonus if compat else F.when(hits > 0, bonus).otherwise(0.0))
 
@@ -116,12 +118,17 @@ def kb_lookup(wanted: DataFrame, functions: DataFrame, classes: DataFrame) -> Da
 
 
 def at_location(chunks: DataFrame, places: DataFrame) -> DataFrame:
-    """places (location, as path:line or path:a-b) with the first chunk of that file whose lines overlap."""
+    """places (location, as path:line or path:a-b) with the first chunk of that file whose lines overlap.
+
+    An equality join on file and block of lines, so a long file isn't compared with all its places.
+    """
     part = F.regexp_extract("location", r"^(.*):(\d+)(?:-(\d+))?$", 1)
     a = F.regexp_extract("location", r":(\d+)(?:-\d+)?$", 1)
     b = F.regexp_extract("location", r":\d+-(\d+)$", 1)
     p = places.where(F.col("location").rlike(r":\d+(-\d+)?$")).select("location", part.alias("file"), a.cast("int").alias("_a"), F.coalesce(F.nullif(b, F.lit("")), a).cast("int").alias("_b"))
-    return p.join(chunks, "file").where("start_line <= _b AND end_line >= _a").groupBy("location").agg(F.min_by("id", F.struct("start_line", "id")).alias("id"))
+    blocks = lambda low, high: F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("_block")
+    pieces = chunks.select("file", "id", "start_line", "end_line").where("start_line <= end_line").select("*", blocks(F.col("start_line"), F.col("end_line")))
+    return p.where("_a <= _b").select("*", blocks(F.col("_a"), F.col("_b"))).join(pieces, ["file", "_block"]).where("start_line <= _b AND end_line >= _a").groupBy("location").agg(F.min_by("id", F.struct("start_line", "id")).alias("id"))
 
 
 def packed(scored: DataFrame, tokens: Column, limit: Column, by: list[str], order: list[Column]) -> DataFrame:
