@@ -34,3 +34,19 @@ def test_nothing_else_imports_it():
     for path in (ROOT / "corpusloom").rglob("*.py"):
         if "llm" not in path.parts:
             assert not re.search(r"\bllm\b", path.read_text()), path
+
+
+def test_workers_get_the_package_from_any_folder(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {str(ROOT)!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from corpusloom.shipping import ship
+from corpusloom.sources.files import parsed
+ship(spark)
+rows = parsed(spark.createDataFrame([("a.py", "def f(): pass", "Python", 1)], "path string, content string, lang string, loc long")).collect()
+print("FOUND", rows[0]["functions"][0]["name"])
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert "FOUND f" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env, check=True).stdout
