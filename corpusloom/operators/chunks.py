@@ -99,7 +99,7 @@ def importance(chunk_type: Column, complexity: Column) -> Column:
 
 def content_symbols(name: Column, content: Column) -> Column:
     """The name, and the names before ( of the content's list lines."""
-    lines = F.filter(F.transform(F.split(content, "\n"), F.trim), lambda x: F.startswith(x, F.lit("- ")) & F.contains(x, F.lit("(")))
+    lines = F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("- ")) & F.contains(x, F.lit("(")))
     found = F.transform(lines, lambda x: F.trim(F.regexp_extract(x, r"^- ([^(]*)\(", 1)))
     return F.array_distinct(F.filter(F.concat(F.array(name), found), lambda x: x != ""))
 
