@@ -44,11 +44,23 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY) -> bytes:
-    """The tokens of greatest gain, best last, up to ``size`` bytes."""
-    # Each token takes LEAST + 1 bytes or more, so no more than these can be used.
-    best = counts.where(F.col(column) > 0).orderBy((F.col(column) * F.octet_length("token")).desc(), "token").select("token").limit(size // (LEAST + 1)).collect()
+    """The tokens of greatest gain, best last, up to ``size`` bytes.
+
+    The bytes of all tokens are first summed by eighths of a power of two of their gain, so that only the tokens down
+    to the step at which the dictionary is full are sent to the driver, however many tasks and tokens there are.
+    """
+    gain = F.col(column) * F.octet_length("token")
+    step = F.floor(F.log2(gain) * 8)
+    known = counts.where(F.col(column) > 0)
+    steps = known.groupBy(step.alias("step")).agg(F.sum(F.octet_length("token") + 1).alias("bytes")).orderBy(F.desc("step")).collect()
+    least, used = 0, 0
+    for r in steps:
+        least, used = r["step"], used + r["bytes"]
+        if used >= size:
+            break
+    best = known.where(step >= least).select("token", gain.alias("gain")).collect()
     out, used = [], 0
-    for r in best:
+    for r in sorted(best, key=lambda r: (-r["gain"], r["token"])):
         token = r["token"].encode() + b" "
         if used + len(token) > size:
             break
