@@ -43,30 +43,37 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return tokens.where(F.octet_length("token") >= LEAST).groupBy("token").agg(F.count("*").alias("n"), F.sum("inside").alias("inside"))
 
 
-def dictionary(counts: DataFrame, column: str, size: int = DICTIONARY) -> bytes:
-    """The tokens of greatest gain, best last, up to ``size`` bytes.
+def dictionaries(counts: DataFrame, size: int = DICTIONARY) -> tuple[bytes, bytes]:
+    """In-domain and general: the tokens of greatest gain, best last, up to ``size`` bytes each.
 
     The bytes of all tokens are first summed by eighths of a power of two of their gain, so that only the tokens down
-    to the step at which the dictionary is full are sent to the driver, however many tasks and tokens there are.
+    to the step at which a dictionary is full are sent to the driver, however many tasks and tokens there are.
     """
-    gain = F.col(column) * F.octet_length("token")
-    step = F.floor(F.log2(gain) * 8)
-    known = counts.where(F.col(column) > 0)
-    steps = known.groupBy(step.alias("step")).agg(F.sum(F.octet_length("token") + 1).alias("bytes")).orderBy(F.desc("step")).collect()
-    least, used = 0, 0
-    for r in steps:
-        least, used = r["step"], used + r["bytes"]
-        if used >= size:
-            break
-    best = known.where(step >= least).select("token", gain.alias("gain")).collect()
-    out, used = [], 0
-    for r in sorted(best, key=lambda r: (-r["gain"], r["token"])):
-        token = r["token"].encode() + b" "
-        if used + len(token) > size:
-            break
-        out.append(token)
-        used += len(token)
-    return b"".join(reversed(out))
+    columns = ("inside", "n")
+    gains = [F.col(c) * F.octet_length("token") for c in columns]
+    steps = [F.when(F.col(c) > 0, F.floor(F.log2(g) * 8)).alias(f"step_{c}") for c, g in zip(columns, gains, strict=True)]
+    known = counts.select("token", *(g.alias(f"gain_{c}") for c, g in zip(columns, gains, strict=True)), *steps)
+    each = known.select((F.octet_length("token") + 1).alias("bytes"), F.posexplode(F.array(*(f"step_{c}" for c in columns))).alias("which", "step")).where("step IS NOT NULL")
+    found = each.groupBy("which", "step").agg(F.sum("bytes").alias("bytes")).orderBy("which", F.desc("step")).collect()
+    wanted = []
+    for k, c in enumerate(columns):
+        least, used = 0, 0
+        for r in found:
+            if r["which"] == k and used < size:
+                least, used = r["step"], used + r["bytes"]
+        wanted.append(F.coalesce(F.col(f"step_{c}") >= least, F.lit(False)))
+    rows = known.where(wanted[0] | wanted[1]).collect()
+    out = []
+    for c in columns:
+        made, used = [], 0
+        for r in sorted((r for r in rows if r[f"gain_{c}"] > 0), key=lambda r: (-r[f"gain_{c}"], r["token"])):
+            token = r["token"].encode() + b" "
+            if used + len(token) > size:
+                break
+            made.append(token)
+            used += len(token)
+        out.append(b"".join(reversed(made)))
+    return out[0], out[1]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -88,7 +95,7 @@ def sizes_and_score(inside: zstandard.ZstdCompressor, general: zstandard.ZstdCom
 def scored(docs: DataFrame, labels: DataFrame, size: int = DICTIONARY) -> DataFrame:
     """(doc_id, bytes, inside, general, score) of each document."""
     counts = written(token_counts(docs, labels), "tokens")
-    sent = docs.sparkSession.sparkContext.broadcast((dictionary(counts, "inside", size), dictionary(counts, "n", size)))
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries(counts, size))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, general = map(compressor, sent.value)
