@@ -15,10 +15,10 @@ def file_hashes(files: DataFrame, path: str = "path", content: str = "content")
 def project_hash(hashes: DataFrame) -> DataFrame:
     """One row: the SHA-256 of all file hashes in the order of their paths, the number of files and of lines.
 
-    The digests are first combined by the first two characters of the path's hash, so one task never holds more than its
-    share of the files, then the 256 parts are.
+    The digests are first combined by the first four characters of the path's hash, so a list holds a 65,536th of the
+    files, then those parts are.
     """
-    part = hashes.groupBy(F.substring(F.sha2("path", 256), 1, 2).alias("part")).agg(
+    part = hashes.groupBy(F.substring(F.sha2("path", 256), 1, 4).alias("part")).agg(
         F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: x["hash"]), ""), 256).alias("h"), F.count("*").alias("files"), F.sum("lines").alias("lines")
     )
     return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("hash"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))

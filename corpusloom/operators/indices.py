@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 
 def inverted(table: DataFrame, key: Column, value: Column) -> DataFrame:
-    """(key, values): each key's distinct values, sorted."""
+    """(key, values): each key's distinct values, sorted.  A key that millions of rows share is for ``postings``."""
     return table.select(key.alias("key"), value.alias("v")).where("key IS NOT NULL").groupBy("key").agg(F.array_sort(F.collect_set("v")).alias("values"))
 
 
+def postings(table: DataFrame, key: Column, value: Column, blocks: int = 1024) -> DataFrame:
+    """(key, block, values): an inverted index whose lists are cut into ``blocks`` by a hash of the value.
+
+    For keys that a great part of the table has: no list, and no task, holds more than a key's share of a block.  A
+    look-up filters by key, a membership test by key and block.
+    """
+    block = F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int")
+    return table.select(key.alias("key"), value.alias("v")).where("key IS NOT NULL").groupBy("key", block.alias("block")).agg(F.array_sort(F.collect_set("v")).alias("values"))
+
+
 def inverted_tags(table: DataFrame, tags: Column, value: Column) -> DataFrame:
     return inverted(table.select(F.explode(tags).alias("_t"), value.alias("_v")), F.col("_t"), F.col("_v"))
 

@@ -30,13 +30,16 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Registers a function of Tables as a query, with its SQL twin."""
+def query(sql: str | None = None, listed: str | None = None):
+    """Registers a function of Tables as a query, with its SQL twin; the array ``listed`` is shown as text, so that the two compare alike."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if listed is None:
+            QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        else:
+            QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir)).withColumn(listed, F.array_join(F.col(listed).cast("array<string>"), ","))
         if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
+            ORACLE_SQL[f.__name__] = sql if listed is None else f'SELECT * REPLACE (array_to_string(list_transform("{listed}", lambda x: CAST(x AS VARCHAR)), \',\') AS "{listed}") FROM ({sql})'
         return f
 
     return register
@@ -76,17 +79,17 @@ def pattern_notes(t: Tables) -> DataFrame:
 # --- indices and graphs ----------------------------------------------------------------------------------------------
 
 
-@query('SELECT event_type AS key, list_sort(list(DISTINCT event_id)) AS "values" FROM events GROUP BY 1')
+@query('SELECT event_type AS key, list_sort(list(DISTINCT event_id)) AS "values" FROM events GROUP BY 1', "values")
 def name_index(t: Tables) -> DataFrame:
     return indices.inverted(t.events, F.col("event_type"), F.col("event_id"))
 
 
-@query('SELECT l_partkey AS key, list_sort(list(DISTINCT l_orderkey)) AS "values" FROM lineitem GROUP BY 1')
+@query('SELECT l_partkey AS key, list_sort(list(DISTINCT l_orderkey)) AS "values" FROM lineitem GROUP BY 1', "values")
 def reverse_index(t: Tables) -> DataFrame:
     return indices.inverted(t.lineitem, F.col("l_partkey"), F.col("l_orderkey"))
 
 
-@query('SELECT key, list_sort(list(DISTINCT p_partkey)) AS "values" FROM (SELECT p_partkey, unnest(string_split(lower(p_name), \' \')) AS key FROM part) GROUP BY key')
+@query('SELECT key, list_sort(list(DISTINCT p_partkey)) AS "values" FROM (SELECT p_partkey, unnest(string_split(lower(p_name), \' \')) AS key FROM part) GROUP BY key', "values")
 def tag_index(t: Tables) -> DataFrame:
     return indices.inverted_tags(t.part, F.split(F.lower("p_name"), " "), F.col("p_partkey"))
 
@@ -146,15 +149,16 @@ def max_depth(t: Tables) -> DataFrame:
     return graph.shortest_depths(_edges(t), t.region.select(_id("r", "r_regionkey").alias("id"))).agg(F.max("depth").alias("max_depth"), F.count("*").alias("reached"))
 
 
-@query("SELECT p_brand AS name, list_sort(list(DISTINCT 'f' || l_suppkey)) AS used_by, count(DISTINCT l_suppkey) AS import_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+@query("SELECT p_brand AS name, list_sort(list(DISTINCT 'f' || l_suppkey)) AS used_by, count(DISTINCT l_suppkey) AS import_count FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1", "used_by")
 def external_deps(t: Tables) -> DataFrame:
     imports = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("module"), _id("f", "l_suppkey").alias("path"), F.lit("external").alias("type"))
     return indices.external_dependencies(imports)
 
 
-@query("SELECT l_partkey AS callee, list_sort(list(DISTINCT {'function': l_orderkey, 'file': 'f' || l_suppkey, 'line': l_linenumber})) AS called_by FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey AS callee, list_transform(list_sort(list(DISTINCT {'function': l_orderkey, 'file': 'f' || l_suppkey, 'line': l_linenumber})), lambda c: c['function'] || ' in ' || c['file'] || ':' || c['line']) AS called_by FROM lineitem GROUP BY 1", "called_by")
 def called_by(t: Tables) -> DataFrame:
-    return graph.callers(t.lineitem.select(F.col("l_partkey").alias("callee"), F.col("l_orderkey").alias("caller"), _id("f", "l_suppkey").alias("file"), F.col("l_linenumber").alias("line")))
+    found = graph.callers(t.lineitem.select(F.col("l_partkey").alias("callee"), F.col("l_orderkey").alias("caller"), _id("f", "l_suppkey").alias("file"), F.col("l_linenumber").alias("line")))
+    return found.withColumn("called_by", F.transform("called_by", lambda c: F.concat(c["function"].cast("string"), F.lit(" in "), c["file"], F.lit(":"), c["line"].cast("string"))))
 
 
 @query("WITH x AS (SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0) SELECT s_suppkey, s_name FROM x WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -186,12 +190,12 @@ def _tag_sql() -> str:
     return "SELECT p_partkey, list_sort(list_distinct(list_filter([" + ", ".join(rules) + "], lambda x: x IS NOT NULL))) AS tags FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS n FROM part)"
 
 
-@query(_tag_sql())
+@query(_tag_sql(), "tags")
 def tag_rules(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", T.name_tags(F.concat_ws(" ", "p_name", "p_type")).alias("tags"))
 
 
-@query("SELECT c_custkey AS id, list_transform(regexp_extract_all(c_name || replace(c_mktsegment, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x)) AS tokens FROM customer UNION ALL SELECT p_partkey, list_transform(regexp_extract_all(replace(p_type, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x)) FROM part")
+@query("SELECT c_custkey AS id, list_transform(regexp_extract_all(c_name || replace(c_mktsegment, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x)) AS tokens FROM customer UNION ALL SELECT p_partkey, list_transform(regexp_extract_all(replace(p_type, ' ', '_'), '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x)) FROM part", "tokens")
 def identifier_tokens(t: Tables) -> DataFrame:
     a = t.customer.select(F.col("c_custkey").alias("id"), T.identifier_tokens(F.concat("c_name", F.replace("c_mktsegment", F.lit(" "), F.lit("_")))).alias("tokens"))
     return a.unionByName(t.part.select(F.col("p_partkey").alias("id"), T.identifier_tokens(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("tokens")))
@@ -237,7 +241,7 @@ def question_types(t: Tables) -> DataFrame:
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
 
 
-@query(f"SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda w: strlen(w) > 2 AND NOT list_contains({_STOP}, w)) AS keywords FROM conversations")
+@query(f"SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN_]+'), lambda w: strlen(w) > 2 AND NOT list_contains({_STOP}, w)) AS keywords FROM conversations", "keywords")
 def question_keywords(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", C.keywords(F.col("text")).alias("keywords"))
 
@@ -245,7 +249,7 @@ def question_keywords(t: Tables) -> DataFrame:
 _MARKS = T.PUNCTUATION.replace("'", "''")
 
 
-@query(f"SELECT conv_id, turn, list_sort(list_distinct(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: trim(w, '{_MARKS}')), lambda w: strlen(w) > 2), lambda w: list_concat([w], list_transform(regexp_extract_all(w, '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x))))))) AS symbols FROM conversations")
+@query(f"SELECT conv_id, turn, list_sort(list_distinct(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: trim(w, '{_MARKS}')), lambda w: strlen(w) > 2), lambda w: list_concat([w], list_transform(regexp_extract_all(w, '[A-Z][^A-Z_]*|[^A-Z_]+'), lambda x: lower(x))))))) AS symbols FROM conversations", "symbols")
 def question_symbols(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.array_sort(T.symbol_candidates(F.col("text"))).alias("symbols"))
 
@@ -446,7 +450,7 @@ def file_hash(t: Tables) -> DataFrame:
     return checksum.file_hashes(_files(t))
 
 
-@query("WITH f AS (SELECT 'd' || doc_id AS path, sha256(text) AS hash, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents), p AS (SELECT left(sha256(path), 2) AS part, sha256(string_agg(hash, '' ORDER BY path)) AS h, count(*) AS files, sum(lines) AS lines FROM f GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY part)) AS hash, CAST(sum(files) AS BIGINT) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM p")
+@query("WITH f AS (SELECT 'd' || doc_id AS path, sha256(text) AS hash, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents), p AS (SELECT left(sha256(path), 4) AS part, sha256(string_agg(hash, '' ORDER BY path)) AS h, count(*) AS files, sum(lines) AS lines FROM f GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY part)) AS hash, CAST(sum(files) AS BIGINT) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM p")
 def project_hash(t: Tables) -> DataFrame:
     return checksum.project_hash(checksum.file_hashes(_files(t)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import classify as C
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.operators import cache, chunks, diagnostics, graph, patterns, retrieve, search
+from corpusloom.operators import cache, chunks, diagnostics, graph, indices, patterns, retrieve, search
 
 
 def one(spark, column):
@@ -156,6 +156,16 @@ def test_graph(spark):
     assert {r["neighbour"] for r in graph.neighbours(edges, roots, "in").collect()} == {"c"}
 
 
+def test_postings(spark):
+    df = spark.range(500).selectExpr("id % 3 AS k", "id AS v")
+    got = collections.defaultdict(list)
+    for r in indices.postings(df, F.col("k"), F.col("v"), 8).collect():
+        assert len(r["values"]) < 60
+        got[r["key"]] += r["values"]
+    whole = {r["key"]: r["values"] for r in indices.inverted(df, F.col("k"), F.col("v")).collect()}
+    assert {k: sorted(v) for k, v in got.items()} == whole
+
+
 def test_routes(spark):
     assert one(spark, patterns.route_path(F.lit("@app.get('/a/b-c')"))) == "/a/b-c" and one(spark, patterns.route_path(F.lit("@app.get()"))) is None
     assert one(spark, patterns.http_methods(F.lit("@r(methods=['put', 'POST'])"))) == ["POST", "PUT"] and one(spark, patterns.http_methods(F.lit("@route"))) == ["GET"]
