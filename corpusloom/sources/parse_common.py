@@ -17,7 +17,7 @@ def lines_of(text: str) -> list[str]:
 
 def todos(text: str) -> list[dict]:
     out = []
-    for n, line in enumerate(lines_of(text), 1):
+    for n, line in enumerate(lines_of(text), 1) if _TODO.search(text) else []:
         if m := _TODO.search(line):
             low = line.lower()
             out.append({"line": n, "text": m[2].strip(), "priority": "high" if re.search("critical|urgent", low) else "low" if re.search("minor|low", low) else "medium"})
@@ -25,7 +25,9 @@ def todos(text: str) -> list[dict]:
 
 
 def security_notes(text: str, lang: str) -> list[dict]:
-    return [{"line": n, "note_type": kind, "description": line.strip()} for kind, p in _NOTES.get(lang, []) for n, line in enumerate(lines_of(text), 1) if p.search(line)]
+    lines = lines_of(text)
+    # A pattern that is nowhere in the text isn't tried on its lines.
+    return [{"line": n, "note_type": kind, "description": line.strip()} for kind, p in _NOTES.get(lang, []) if p.search(text) for n, line in enumerate(lines, 1) if p.search(line)]
 
 
 def tags(name: str, doc: str, calls: list[dict], lang: str, extra: tuple[str, ...] = ()) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import bisect
 import re
 
 from . import parse_common as common
@@ -20,15 +21,53 @@ def _call_name(node: ast.Call) -> str:
     return f.attr if isinstance(f, ast.Attribute) else f.id if isinstance(f, ast.Name) else ""
 
 
-class _Function:
-    def __init__(self, source: str, node: ast.FunctionDef | ast.AsyncFunctionDef):
-        self.source, self.node = source, node
+def _children(node: ast.AST) -> list[ast.AST]:
+    out = []
+    for field in node._fields:
+        value = getattr(node, field, None)
+        if value.__class__ is list:
+            out += [x for x in value if isinstance(x, ast.AST)]
+        elif isinstance(value, ast.AST) and value._fields:
+            out.append(value)
+    return out
+
+
+def _walk(node: ast.AST) -> list[ast.AST]:
+    """All nodes under and with ``node``, but for the marks of loading and storing."""
+    out = [node]
+    for n in out:
+        out += _children(n)
+    return out
+
+
+class _Source:
+    """A file's lines as bytes, which the parser's columns count; cut once, and not for each piece as the library does."""
+
+    def __init__(self, source: str):
+        self.lines = [line.encode() for line in re.split(r"(?<=\n)|(?<=\r)(?!\n)", source)]
 
     def text(self, node: ast.AST | None) -> str:
-        return "" if node is None else (ast.get_source_segment(self.source, node) or ast.unparse(node))
+        if node is None:
+            return ""
+        first, last = node.lineno - 1, node.end_lineno - 1
+        if first == last:
+            return self.lines[first][node.col_offset : node.end_col_offset].decode()
+        return b"".join([self.lines[first][node.col_offset :], *self.lines[first + 1 : last], self.lines[last][: node.end_col_offset]]).decode()
 
-    def names(self, nodes: list[ast.AST]) -> list[str]:
-        return list(dict.fromkeys(name for n in nodes for x in ast.walk(n) if isinstance(x, ast.Call) and (name := _call_name(x))))
+
+class _Function:
+    def __init__(self, source: _Source, node: ast.FunctionDef | ast.AsyncFunctionDef):
+        self.source, self.node, self.text = source, node, source.text
+        self.nodes = _walk(node)
+        self.called = sorted((x.lineno, x.col_offset, name) for x in self.nodes if isinstance(x, ast.Call) and (name := _call_name(x)))
+
+    def names(self, nodes: list[ast.stmt]) -> list[str]:
+        """What a run of statements calls, in order, each once."""
+        if not nodes:
+            return []
+        low = bisect.bisect_left(self.called, (nodes[0].lineno, nodes[0].col_offset))
+        high = bisect.bisect_left(self.called, (nodes[-1].end_lineno, nodes[-1].end_col_offset))
+        return list(dict.fromkeys(name for *_, name in self.called[low:high]))
 
     def params(self) -> list[dict]:
         a = self.node.args
@@ -50,7 +89,7 @@ class _Function:
                 out.append({"callee": name, "defined_in": None, "line": node.lineno, "args": args, "is_conditional": context != "unconditional", "context": context})
             parts: list[tuple[list[ast.AST], str]]
             if isinstance(node, ast.If):
-                chained = len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) and self.text(node.orelse[0]).startswith("elif")
+                chained = len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) and self.source.text(node.orelse[0]).startswith("elif")
                 parts = [([node.test, *node.body], "elif" if context == "_elif" else "if"), (node.orelse, "_elif" if chained else "else")]
             elif isinstance(node, ast.For | ast.AsyncFor | ast.While):
                 inner = [node.test] if isinstance(node, ast.While) else [node.target, node.iter]
@@ -58,7 +97,7 @@ class _Function:
             elif isinstance(node, ast.Try | ast.TryStar):
                 parts = [(node.body, "try"), (node.handlers, "except"), (node.orelse, "else"), (node.finalbody, "try")]
             else:
-                parts = [(list(ast.iter_child_nodes(node)), context)]
+                parts = [(_children(node), context)]
             for nodes, where in parts:
                 for n in nodes:
                     visit(n, where)
@@ -70,7 +109,7 @@ class _Function:
     def variables(self, params: list[dict]) -> list[dict]:
         make = lambda name, kind, scope, line: {"name": name, "var_type": kind, "scope": scope, "defined_at": line, "transformations": [], "used_in": [], "returned": False}
         found = {p["name"]: make(p["name"], p["type_annotation"], "param", self.node.lineno) for p in params}
-        for n in sorted((x for x in ast.walk(self.node) if isinstance(x, ast.Assign | ast.AnnAssign | ast.Return)), key=lambda x: (x.lineno, x.col_offset)):
+        for n in sorted((x for x in self.nodes if isinstance(x, ast.Assign | ast.AnnAssign | ast.Return)), key=lambda x: (x.lineno, x.col_offset)):
             if isinstance(n, ast.Return):
                 if isinstance(n.value, ast.Name) and n.value.id in found:
                     found[n.value.id]["returned"] = True
@@ -97,7 +136,7 @@ class _Function:
 
     def flow(self, complexity: int) -> dict:
         out = common.flow(complexity)
-        for n in sorted((x for x in ast.walk(self.node) if isinstance(x, _BLOCKS)), key=lambda x: (x.lineno, x.col_offset)):
+        for n in sorted((x for x in self.nodes if isinstance(x, _BLOCKS)), key=lambda x: (x.lineno, x.col_offset)):
             if isinstance(n, ast.If):
                 out["branches"].append({"branch_type": "if", "condition": self.text(n.test), "line": n.lineno, "true_path": self.path(n.body), "false_path": self.path(n.orelse) if n.orelse else None})
             elif isinstance(n, ast.Try | ast.TryStar):
@@ -109,13 +148,13 @@ class _Function:
         return out
 
     def exceptions(self) -> dict:
-        raises = [self.raised(n) for n in ast.walk(self.node) if isinstance(n, ast.Raise) and n.exc is not None]
-        handles = [self.text(t) for n in ast.walk(self.node) if isinstance(n, ast.ExceptHandler) and n.type is not None for t in (n.type.elts if isinstance(n.type, ast.Tuple) else [n.type])]
+        raises = [self.raised(n) for n in self.nodes if isinstance(n, ast.Raise) and n.exc is not None]
+        handles = [self.text(t) for n in self.nodes if isinstance(n, ast.ExceptHandler) and n.type is not None for t in (n.type.elts if isinstance(n.type, ast.Tuple) else [n.type])]
         return {"raises": list(dict.fromkeys(raises)), "propagates": [], "handles": list(dict.fromkeys(handles))}
 
     def complexity(self) -> int:
         n = 1
-        for x in ast.walk(self.node):
+        for x in self.nodes:
             n += isinstance(x, ast.If | ast.For | ast.AsyncFor | ast.While | ast.ExceptHandler | ast.With | ast.AsyncWith)
             n += len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0
         return n
@@ -126,7 +165,7 @@ class _Function:
         decorators = ["@" + self.text(d) for d in node.decorator_list]
         shown = ", ".join(p["name"] + (f": {p['type_annotation']}" if p["type_annotation"] else "") + (f" = {p['default_value']}" if p["default_value"] is not None else "") for p in params)
         returns = self.text(node.returns)
-        extra = (*(["async"] if is_async else []), *(["dunder"] if re.fullmatch("__.*__", node.name) else ["private"] if node.name.startswith("_") else []), *(["property"] if "@property" in decorators else []), *(["generator"] if any(isinstance(x, ast.Yield | ast.YieldFrom) for x in ast.walk(node)) else []))
+        extra = (*(["async"] if is_async else []), *(["dunder"] if re.fullmatch("__.*__", node.name) else ["private"] if node.name.startswith("_") else []), *(["property"] if "@property" in decorators else []), *(["generator"] if any(isinstance(x, ast.Yield | ast.YieldFrom) for x in self.nodes) else []))
         return {
             "kind": "method" if of else "function", "class_name": of, "id": f"method_{of}_{node.name}" if of else f"func_{node.name}", "name": node.name,
             "signature": f"{'async ' if is_async else ''}def {node.name}({shown})" + (f" -> {returns}" if returns else ""), "params": params, "return_type": returns, "docstring": doc.strip(),
@@ -135,8 +174,8 @@ class _Function:
         }
 
 
-def _class(source: str, node: ast.ClassDef) -> dict:
-    text = lambda n: "" if n is None else ast.get_source_segment(source, n) or ast.unparse(n)
+def _class(source: _Source, node: ast.ClassDef) -> dict:
+    text = source.text
     attributes = [{"name": n.target.id, "type_annotation": text(n.annotation), "value": text(n.value) if n.value is not None else None} for n in node.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name)]
     return {"id": f"class_{node.name}", "name": node.name, "bases": [text(b) for b in node.bases], "docstring": (ast.get_docstring(node, clean=False) or "").strip(), "line_start": node.lineno, "line_end": node.end_lineno, "attributes": attributes, "decorators": ["@" + text(d) for d in node.decorator_list]}
 
@@ -147,6 +186,7 @@ def parse(source: str) -> dict:
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return by_line(source) | {"error": f"{type(e).__name__}: {e}"}
     out: dict = {"error": None, "imports": [], "functions": [], "classes": [], "global_vars": []}
+    cut = _Source(source)
     try:
         for n in tree.body:
             if isinstance(n, ast.Import):
@@ -155,15 +195,15 @@ def parse(source: str) -> dict:
                 module = "." * n.level + (n.module or "")
                 out["imports"].append({"module": module, "items": [a.name for a in n.names], "type": import_kind(module)})
             elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
-                out["functions"].append(_Function(source, n).record(None))
+                out["functions"].append(_Function(cut, n).record(None))
             elif isinstance(n, ast.ClassDef):
-                out["classes"].append(_class(source, n))
-                out["functions"] += [_Function(source, m).record(n.name) for m in n.body if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef)]
+                out["classes"].append(_class(cut, n))
+                out["functions"] += [_Function(cut, m).record(n.name) for m in n.body if isinstance(m, ast.FunctionDef | ast.AsyncFunctionDef)]
             elif isinstance(n, ast.Assign | ast.AnnAssign) and n.value is not None:
                 for t in n.targets if isinstance(n, ast.Assign) else [n.target]:
                     if isinstance(t, ast.Name):
-                        note = ast.get_source_segment(source, n.annotation) if isinstance(n, ast.AnnAssign) else ""
-                        out["global_vars"].append({"name": t.id, "type_annotation": note or "", "value": ast.get_source_segment(source, n.value) or "", "line": n.lineno})
+                        note = cut.text(n.annotation) if isinstance(n, ast.AnnAssign) else ""
+                        out["global_vars"].append({"name": t.id, "type_annotation": note or "", "value": cut.text(n.value), "line": n.lineno})
     except RecursionError as e:
         return by_line(source) | {"error": f"RecursionError: {e}"}
     return out
