@@ -226,7 +226,12 @@ def write_warc(pages: DataFrame, path: str, damage: bool = False) -> None:
                         data = b"\x00junk\x1f\x8b\x08 that is no member, WARC/1.0\r\n and no record\xff" + data
                     out.write(data)
                     n += 1
-        fs.move(tried, f"{inner}/{name}")
+        try:
+            fs.move(tried, f"{inner}/{name}")
+        except OSError:  # some file systems don't replace; another attempt of this task has put the same file there
+            if fs.get_file_info(f"{inner}/{name}").type != pyarrow.fs.FileType.File:
+                raise
+            fs.delete_file(tried)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
