@@ -111,7 +111,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps (Kiveris et al. 2014) until nothing changes; each step is written to the shared
     folder, so a lost executor costs one step at most.
     """
-    now = edges.select("a", "b").where("a <> b").distinct()
+    # Each step reads its edges several times, so they are written before the first one too.
+    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("w")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("w")))
         least = both.groupBy("u").agg(F.least(F.min("w"), F.first("u")).alias("m"))
