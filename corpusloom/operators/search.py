@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +30,38 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "id", where
 
 
 def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """The k most similar vectors to each of many queries."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
-    return scores(vectors, queries, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    """(query_id, key, score, rank): the k most similar vectors to each of many queries (query_id, query), exactly.
+
+    Up to BROADCAST_QUERIES of them go to every task as a matrix, each Arrow batch is multiplied with it, and a batch
+    gives its k best a query, so what is shuffled is k rows a query and batch; more are scored as pairs.  Scores are
+    ranked to 10 places, ties by key.  All vectors must have one size; a null one is left out.
+    """
+    queries = queries.select("query_id", "query").where("query IS NOT NULL")
+    best = Window.partitionBy("query_id").orderBy(F.round("score", 10).desc(), key)
+    if queries.limit(BROADCAST_QUERIES + 1).count() > BROADCAST_QUERIES:
+        return scores(vectors, queries, key).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    known = queries.toArrow()
+    matrix = np.array(known["query"].to_pylist(), np.float64).reshape(known.num_rows, -1 if known.num_rows else 0)
+    sent = vectors.sparkSession.sparkContext.broadcast((known["query_id"].combine_chunks(), _unit(matrix)))
+    schema = vectors.select(key).schema
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, `{key}` {schema[key].dataType.simpleString()}, score double"
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wanted = sent.value
+        for batch in batches:
+            batch = batch.filter(batch.column("embedding").is_valid()).sort_by(key)
+            if not batch.num_rows or not len(wanted):
+                continue
+            rows = _unit(np.array(batch.column("embedding").to_pylist(), np.float64)) @ wanted.T
+            top = np.argsort(-np.round(rows, 10), axis=0, kind="stable")[:k]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.tile(np.arange(len(wanted)), len(top)))), batch.column(key).take(pa.array(top.ravel())), pa.array(np.take_along_axis(rows, top, 0).ravel())], ["query_id", key, "score"])
+
+    return vectors.select(key, "embedding").mapInArrow(search, out).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    length = np.linalg.norm(rows, axis=1, keepdims=True)
+    return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
 def filtered(chunk_type: list[str] | None = None, language: list[str] | None = None, paths: list[str] | None = None) -> Column:

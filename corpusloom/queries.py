@@ -292,10 +292,10 @@ def vector_threshold(t: Tables) -> DataFrame:
     return search.top_k(t.embeddings, _query_vector(t), 50, "vec_id", threshold=0.5).select("vec_id", F.round("score", 5).alias("score"))
 
 
-@query("WITH q AS (SELECT label AS query_id, arg_min(CAST(embedding AS DOUBLE[]), vec_id) AS query FROM embeddings GROUP BY 1) SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) AS score FROM embeddings CROSS JOIN q)) WHERE rank <= 5")
+@query("WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS query FROM embeddings) SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS rank FROM (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), query) AS score FROM embeddings CROSS JOIN q)) WHERE rank <= 5")
 def vector_topk_each(t: Tables) -> DataFrame:
-    """The five nearest vectors to the first vector of each label, all labels at once."""
-    queries = t.embeddings.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("query"))
+    """The five nearest vectors to every vector."""
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return search.top_k_each(t.embeddings, queries, 5, "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
@@ -394,13 +394,13 @@ def graph_expand(t: Tables) -> DataFrame:
     return retrieve.with_neighbours(scored, _edges(t)).select("id", F.round("score", 4).alias("score"))
 
 
-@query("SELECT location, arg_min(id, {'s': s, 'id': id}) AS id FROM (SELECT 'f' || l_suppkey || ':' || l_orderkey || '-' || (l_orderkey + 2) AS location, l_suppkey AS k, l_orderkey AS a, l_orderkey + 2 AS b FROM lineitem WHERE l_linenumber = 1) JOIN (SELECT l_suppkey AS k2, l_orderkey AS s, l_orderkey + l_linenumber AS e, 'f' || l_suppkey || '-' || l_orderkey || '-' || l_linenumber AS id FROM lineitem) ON k = k2 AND s <= b AND e >= a GROUP BY location")
+@query("SELECT location, arg_min(id, {'s': s, 'id': id}) AS id FROM (SELECT 'f' || l_suppkey || ':' || l_orderkey || '-' || (l_orderkey + 2) AS location, l_suppkey AS k, l_orderkey AS a, l_orderkey + 2 AS b FROM lineitem) JOIN (SELECT l_suppkey AS k2, l_orderkey AS s, l_orderkey + l_linenumber AS e, 'f' || l_suppkey || '-' || l_orderkey || '-' || l_linenumber AS id FROM lineitem) ON k = k2 AND s <= b AND e >= a GROUP BY location")
 def location_lookup(t: Tables) -> DataFrame:
     line = t.lineitem
     s = F.col("l_orderkey")
     text = lambda *c: F.concat(*(x if isinstance(x, Column) else F.lit(x) for x in c))
     pieces = line.select(_id("f", "l_suppkey").alias("file"), s.cast("int").alias("start_line"), (s + F.col("l_linenumber")).cast("int").alias("end_line"), text("f", F.col("l_suppkey").cast("string"), "-", s.cast("string"), "-", F.col("l_linenumber").cast("string")).alias("id"))
-    places = line.where("l_linenumber = 1").select(text("f", F.col("l_suppkey").cast("string"), ":", s.cast("string"), "-", (s + 2).cast("string")).alias("location"))
+    places = line.select(text("f", F.col("l_suppkey").cast("string"), ":", s.cast("string"), "-", (s + 2).cast("string")).alias("location")).distinct()
     return retrieve.at_location(pieces, places)
 
 

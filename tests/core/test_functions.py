@@ -38,6 +38,15 @@ def test_search(spark):
     kept = search.top_k(df, [1.0, 0.0, 0.0], 50, where=search.filtered(["class"], ["Python"], ["/0/"])).collect()
     assert {r["id"] for r in kept} == {0, 4, 8, 12, 16}
     assert search.top_k(df.limit(0), [1.0], 5).collect() == []
+    queries = df.selectExpr("id AS query_id", "embedding AS query")
+    each = lambda: {(r["query_id"], r["rank"]): (r["id"], round(r["score"], 9)) for r in search.top_k_each(df, queries, 4).collect()}
+    fast = each()
+    old, search.BROADCAST_QUERIES = search.BROADCAST_QUERIES, 3
+    try:
+        assert each() == fast and len(fast) == 80
+    finally:
+        search.BROADCAST_QUERIES = old
+    assert search.top_k_each(df.limit(0), queries, 4).collect() == [] == search.top_k_each(df, queries.limit(0), 4).collect()
     assert search.compared(df, df.where("id > 0")).first()["only_a"] == 1
     with pytest.raises(Exception, match="vector of 4 numbers expected, found 3"):
         search.checked(df, 4).collect()
