@@ -7,10 +7,16 @@ similarity s has probability (1 - (1 - s^r)^m)^2.
 
 Plan.  One pass over the texts makes, per document, two fingerprints of its shingles and the half keys.  Documents
 with equal fingerprints are copies; one of each set goes on (a grouped minimum, combined before the shuffle, so a text
-that occurs a billion times is no hot key).  The table keys are exploded in the JVM.  In each bucket a document is a
-candidate with the bucket's least document and with its neighbour in the order of one more minhash: linear in the
-bucket, however large, and no document is left out.  Each candidate pair is verified by the exact Jaccard similarity of
-the shingle sets.  Groups are the connected components of the verified pairs.
+that occurs a billion times is no hot key).  The table keys are exploded in the JVM.  In a bucket of up to ``NEAR`` + 1
+documents all pairs are candidates; in a larger one a document is first a candidate with the bucket's least document
+and with its ``NEAR`` predecessors in the order of one more minhash.  Each candidate pair is verified by the exact
+Jaccard similarity of the shingle sets.  Groups are the connected components of the verified pairs.
+
+The pairs that this leaves in larger buckets matter where they join groups.  So the documents of the larger buckets that
+hold more than one group are joined exactly: shingles are put in one order, the rarest first, and two documents at
+the threshold have their first common shingle in the first n - ceil(threshold * n) + 1 of either, with enough shingles
+after it in both (prefix and position filter).  A passage that thousands share stands at the end of that order, so it
+makes no candidates by itself; nothing at the threshold is lost.  Shingles within one group are left out of the join.
 
 Defined results: a null doc_id or a null text, or one without any word, is in no group.  Rows that share a doc_id are
 one document with the shingles of each row; they make no pair with themselves.  Fewer than ``k`` words make one shingle.
@@ -19,6 +25,7 @@ Extra columns are ignored.  An empty table has no pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +39,10 @@ from .textkit import Words, mix, reduced, signed, slices
 K, THRESHOLD, TABLES_SIDE, ROWS = 3, 0.55, 8, 2
 #: Up to so many candidate documents are sent to the tasks as a list of 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Predecessors in a bucket that a document is paired with; buckets with more documents before one are joined exactly.
+NEAR = 16
+#: Counters of shingles by the top bits of their hash; they only order the shingles, so a shared counter costs no pair.
+_BITS = 20
 _SEED = 20
 
 
@@ -92,19 +103,63 @@ def shingle_lists(docs: DataFrame, k: int = K, only: np.ndarray | None = None) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, shingles array<long>")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: in every bucket each document with the least one and with its neighbour."""
+def bucketed(reps: DataFrame) -> DataFrame:
+    """(key, n, doc_id, least, before): the documents of each bucket of two or more, its least one and up to NEAR before each."""
     keyed = reps.select("doc_id", "place", "v", F.posexplode("u").alias("i", "x")).select("doc_id", "place", "i", "x", F.posexplode("v").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "place", "doc_id")
-    bucket = Window.partitionBy("key").orderBy("place", "doc_id")
-    near = keyed.select("doc_id", F.lag("doc_id").over(bucket).alias("before"), F.min("doc_id").over(Window.partitionBy("key")).alias("least")).where(F.col("before").isNotNull() | (F.col("least") < F.col("doc_id")))
+    bucket = Window.partitionBy("key")
+    sized = keyed.withColumns({"n": F.count("*").over(bucket), "least": F.min("doc_id").over(bucket)}).where("n > 1")
+    return sized.select("key", "n", "doc_id", "least", F.collect_list("doc_id").over(bucket.orderBy("place", "doc_id").rowsBetween(-NEAR, -1)).alias("before"))
+
+
+def candidates(buckets: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b: all pairs of a bucket of up to NEAR + 1; in a larger one each document with the least and those before it."""
     return (
-        near.select("doc_id", F.explode(F.array_distinct(F.array("before", "least"))).alias("other"))
-        .where(F.col("other").isNotNull() & (F.col("other") != F.col("doc_id")))
+        buckets.select("doc_id", F.explode(F.array_union("before", F.array("least"))).alias("other"))
+        .where(F.col("other") != F.col("doc_id"))
         .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
         .distinct()
     )
 
 
+def grouped(ids: DataFrame, groups: DataFrame) -> DataFrame:
+    """``ids`` with ``root``, the kept_id of the document's group in ``groups``, or itself."""
+    return ids.join(groups, "doc_id", "left").withColumn("root", F.coalesce("kept_id", "doc_id")).drop("kept_id")
+
+
+def crowded(buckets: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, root) of the documents of the buckets of over NEAR + 1 that hold more than one group."""
+    large = grouped(buckets.where(F.col("n") > NEAR + 1).select("key", "doc_id"), groups)
+    mixed = large.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    return large.join(mixed, "key", "left_semi").select("doc_id", "root").distinct()
+
+
+def joined_exactly(lists: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """Distinct (a, b), a < b, of different ``roots``: a superset of the pairs at the threshold among ``lists`` (doc_id, shingles)."""
+    bins = lists.select(F.explode("shingles").alias("h")).groupBy(F.shiftrightunsigned("h", 64 - _BITS).alias("bin")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << _BITS, np.int64)
+    counts[bins.column("bin").to_numpy()] = bins.column("n").to_numpy()
+    sent = lists.sparkSession.sparkContext.broadcast(counts)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for doc, shingles in zip(batch.column("doc_id").to_pylist(), batch.column("shingles"), strict=True):
+                h = shingles.values.to_numpy()
+                n = len(h)
+                first = h[np.lexsort((h, sent.value[(h.view(np.uint64) >> np.uint64(64 - _BITS)).astype(np.int64)]))][: n - math.ceil(threshold * n - 1e-9) + 1]
+                parts.append((np.full(len(first), doc), first, np.full(len(first), n), n - np.arange(len(first))))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["doc_id", "h", "n", "rest"])
+
+    some = lists.where(F.size("shingles") > 0)
+    first = written(some.mapInArrow(make, "doc_id long, h long, n long, rest long").join(roots, "doc_id"), "prefixes")
+    several = first.groupBy("h").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("h")
+    first = first.join(several, "h", "left_semi")
+    left, right = (first.select("h", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "n", "rest", "root"))) for x in "ab")
+    enough = F.least("rest_a", "rest_b") * (1 + threshold) >= threshold * (F.col("n_a") + F.col("n_b")) - 1e-6
+    return left.join(right, "h").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.col("root_a") != F.col("root_b")) & enough).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, kept_id) for each node of ``edges`` (a, b) but the least of its component, which is kept_id.
 
@@ -128,6 +183,21 @@ def components(edges: DataFrame) -> DataFrame:
         now = nxt
 
 
+def lists_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """shingle_lists of the documents whose doc_id is in ``ids``."""
+    if ids.count() <= BROADCAST_IDS:
+        return shingle_lists(docs, k, np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in ids.toArrow().to_batches())])))
+    return shingle_lists(docs.join(ids, "doc_id", "left_semi"), k)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more."""
+    lists = lists_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k)
+    left, right = lists.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), lists.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
+    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("s", "t")))
+    return joined.where(F.col("both") >= threshold * (F.size("s") + F.size("t") - F.col("both"))).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, side: int = TABLES_SIDE, rows: int = ROWS) -> DataFrame:
     """(doc_id, kept_id): each document that is a copy or near copy, and the least doc_id of its group, which stays."""
     made = written(signatures(docs, k, side, rows), "signatures")
@@ -135,17 +205,14 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
     first = made.groupBy(*ident).agg(F.min("doc_id").alias("least"))
     copies = made.select("doc_id", *ident).join(first, ident).where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     reps = made.join(first.select(F.col("least").alias("doc_id"), *ident), ["doc_id", *ident], "left_semi")
-    pairs = written(candidates(reps), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        only = np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in ids.toArrow().to_batches())]))
-        lists = shingle_lists(docs, k, only)
-    else:
-        lists = shingle_lists(docs.join(ids, "doc_id", "left_semi"), k)
-    left, right = lists.select(F.col("doc_id").alias("a"), F.col("shingles").alias("s")), lists.select(F.col("doc_id").alias("b"), F.col("shingles").alias("t"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("s", "t")))
-    alike = joined.where(F.col("both") >= threshold * (F.size("s") + F.size("t") - F.col("both"))).select("a", "b")
-    return components(alike.unionByName(copies))
+    buckets = written(bucketed(reps), "buckets")
+    groups = components(verified(docs, written(candidates(buckets), "candidates"), k, threshold).unionByName(copies))
+    rest = written(crowded(buckets, groups), "crowded")
+    if rest.isEmpty():
+        return groups
+    lists = written(lists_of(docs, rest.select("doc_id").distinct(), k), "crowded-shingles")
+    more = verified(docs, written(joined_exactly(lists, rest, threshold), "candidates"), k, threshold)
+    return components(more.unionByName(groups.select(F.col("kept_id").alias("a"), F.col("doc_id").alias("b"))))
 
 
 def without_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:

@@ -74,3 +74,20 @@ def test_components_of_a_long_chain(spark):
     random.Random(3).shuffle(edges)
     got = {tuple(x) for x in dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(1, 41)} | {(200, 100), (150, 100)}
+
+
+def test_pairs_among_thousands_that_share_a_passage(spark):
+    """The passage alone is under the threshold; a planted pair has some more in common."""
+    passage = prose("passage", 202)
+    rows = [(i, passage + " " + prose(f"own{i}", 88)) for i in range(2500)]
+    for i in range(0, 200, 2):
+        own = prose(f"own{i}", 88).split()
+        rows[i + 1] = (i + 1, passage + " " + " ".join(own[:33]) + " " + prose(f"new{i}", 55))
+    r = random.Random(5)
+    r.shuffle(rows)
+    planted = dict(rows)
+    for i in (0, 100):
+        s, t, u = (shingle_set(planted[j]) for j in (i, i + 1, i + 2))
+        assert len(s & t) >= dedup.THRESHOLD * len(s | t) and len(s & u) < dedup.THRESHOLD * len(s | u)
+    got = {tuple(x) for x in dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(i + 1, i) for i in range(0, 200, 2)}
