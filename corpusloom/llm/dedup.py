@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import minus, written
 from .textkit import Words, mix, reduced, signed, slices
 
-K, THRESHOLD, TABLES_SIDE, ROWS = 3, 0.55, 8, 2
+K, THRESHOLD, TABLES_SIDE, ROWS = 3, 0.55, 12, 2
 #: Up to so many candidate documents are sent to the tasks as a list of 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 #: Predecessors in a bucket that a document is paired with; buckets with more documents before one are joined exactly.

@@ -91,3 +91,18 @@ def test_pairs_among_thousands_that_share_a_passage(spark):
         assert len(s & t) >= dedup.THRESHOLD * len(s | t) and len(s & u) < dedup.THRESHOLD * len(s | u)
     got = {tuple(x) for x in dedup.near_duplicates(docs(spark, rows)).collect()}
     assert got == {(i + 1, i) for i in range(0, 200, 2)}
+
+
+def isolated_pairs(n=600):
+    """Pairs of a similarity between 0.55 and 0.57, each with words of its own."""
+    rows = []
+    for i in range(n):
+        text = prose(f"pair{i}", 200, 10**6).split()
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[: 143 + i % 3] + prose(f"rest{i}", 57 - i % 3, 10**6).split()))]
+    return rows
+
+
+def test_isolated_pairs_just_over_the_threshold(spark):
+    rows = isolated_pairs()
+    got = {tuple(x) for x in dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got <= {(i + 1, i) for i in range(0, len(rows), 2)} and len(got) >= 0.95 * len(rows) / 2
