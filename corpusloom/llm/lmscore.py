@@ -7,8 +7,9 @@ A text's compressed size under a dictionary is its cross-entropy under that dict
 
 is above 0 for a text that is more like the in-domain text than like the corpus.
 
-A dictionary is raw content: the tokens (runs without white space) with the greatest gain, count * bytes, the best last,
-where zstandard refers to them by the shortest distances.  Counts are over all documents, both sources in one grouped
+A dictionary is raw content: the tokens (runs without white space; a longer run is split into pieces of ``PIECE``
+characters, so that no single text without white space can fill or block a dictionary) with the greatest gain,
+count * bytes, the best last, where zstandard refers to them by the shortest distances.  Counts are over all documents, both sources in one grouped
 count, combined before its shuffle; what is gathered grows with the corpus, and only the best DICTIONARY bytes of either
 go to the driver and to the tasks.
 
@@ -31,6 +32,8 @@ from .shared import BROADCAST_ROWS, written
 DICTIONARY, LEVEL = 110_000, 3
 #: A token of fewer bytes than zstandard's least match gains nothing.
 LEAST = 4
+#: Characters of a token at most; a dictionary's last 4 * PIECE bytes at most stay free.
+PIECE = 32
 
 
 def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def token_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = written(good, "good")
     good = F.broadcast(good) if good.count() <= BROADCAST_ROWS else good
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokens = texts.join(good, F.col("doc_id") == F.col("_good"), "left").select(F.when(F.col("_good").isNotNull(), 1).otherwise(0).alias("inside"), F.explode(F.split("text", r"\s+")).alias("token"))
+    tokens = texts.join(good, F.col("doc_id") == F.col("_good"), "left").select(F.when(F.col("_good").isNotNull(), 1).otherwise(0).alias("inside"), F.explode(F.regexp_extract_all("text", F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))).alias("token"))
     return tokens.where(F.octet_length("token") >= LEAST).groupBy("token").agg(F.count("*").alias("n"), F.sum("inside").alias("inside"))
 
 

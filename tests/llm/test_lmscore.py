@@ -73,3 +73,18 @@ def test_odd_rows(spark):
     assert len(found) == 2 * len(ODD)
     assert {r["score"] for r in found if r["doc_id"] in (900, 901)} == {0.0}
     assert lmscore.scored(docs(spark, []), labels).collect() == []
+
+
+def test_a_long_unbroken_token_leaves_the_dictionaries_filled(spark):
+    rows, good = corpus()
+    r = random.Random(9)
+    blob = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ+/0123456789", k=150_000))
+    rows += [(10_000, blob), (10_001, "漢字" * 40_000)]
+    labels = [(i, 1, 0) for i in good if good[i]] + [(10_000, 1, 0)]
+    counts = lmscore.token_counts(docs(spark, rows), spark.createDataFrame(labels, LABELS))
+    inside, general = lmscore.dictionaries(counts)
+    known = {x["token"]: x for x in counts.collect()}
+    worth = lambda c: {w for i, t in rows[:300] for w in t.split() if known[w][c] * len(w) > lmscore.PIECE}
+    assert worth("inside") <= set(inside.decode().split()) and worth("n") <= set(general.decode().split()) and len(worth("n")) > 500
+    assert all(lmscore.DICTIONARY - 4 * lmscore.PIECE <= len(d) <= lmscore.DICTIONARY for d in (inside, general))
+    assert sum(len(w) * x["n"] for w, x in known.items() if w.startswith("漢")) == 80_000
