@@ -57,10 +57,10 @@ def cells(docs: DataFrame) -> DataFrame:
 
     def measure(texts: pa.Array) -> np.ndarray:
         data, offset = raw(texts)
-        w = Words(texts)
+        w = Words(texts, places=True)
         size = np.diff(offset)
         counted = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offset])
-        h = w.hashes()
+        h = w.h
         same = np.zeros(len(h), bool)
         same[1:] = h[1:] == h[:-1]
         first = w.of[:-1][w.n > 0]

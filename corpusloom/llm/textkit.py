@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 18
+#: Bytes that are gone through at a time.
+STEP = 1 << 19
 WORD_PATTERN = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: DuckDB: the list of words of the column ``text``.
 WORDS_SQL = rf"regexp_extract_all(lower(text), '{WORD_PATTERN}')"
@@ -33,13 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, SLICE + (1 << 18)), base, np.uint64)
+def _power(base: int) -> np.ndarray:
+    """The powers of a base from 0 to STEP."""
+    if base not in _powers:
+        have = np.full(STEP + 1, base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+        _powers[base] = np.multiply.accumulate(have)
+    return _powers[base]
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -66,42 +68,77 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some texts: ``start`` and ``end`` in ``data``, and ``of``, where each text's words begin."""
+    """The words of some texts: ``h``, a hash of each, the same for the same word anywhere, and ``of``, where each text's words begin.
 
-    def __init__(self, texts: pa.Array):
+    The bytes are gone through by steps of STEP, and a word that goes on past a step is carried over, so what is held
+    besides the texts is about five numbers a word, however long a text or a word is.  With ``places`` also ``start``
+    and ``end`` of each word in ``data``.
+    """
+
+    def __init__(self, texts: pa.Array, places: bool = False):
         self.data, self.offset = raw(pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string())))
-        word = np.zeros(len(self.data) + 1, bool)
-        word[:-1] = _IS_WORD[self.data]
-        edge = np.zeros(len(word), bool)
-        edge[self.offset] = True
-        before = np.zeros(len(word), bool)
-        before[1:] = word[:-1]
-        before &= ~edge
-        after = np.zeros(len(word), bool)
-        after[:-1] = word[1:] & ~edge[1:]
-        self.start, self.end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-        self.of = np.searchsorted(self.start, self.offset)
+        data, offset = self.data, self.offset
+        hashes, starts, ends, counts = [], [], [], np.zeros(len(offset), np.int64)
+        begun, partial, up, down = -1, 0, _power(_P), _power(_PINV)
+        total = 0
+        for at in range(0, len(data), STEP):
+            part = data[at : at + STEP]
+            n = len(part)
+            word = _IS_WORD[part]
+            edge = np.zeros(n + 1, bool)
+            low, high = np.searchsorted(offset, [at, at + n + 1])
+            edge[offset[low:high] - at] = True
+            before, after = np.empty(n, bool), np.empty(n, bool)
+            before[1:], before[0] = word[:-1], at > 0 and _IS_WORD[data[at - 1]]
+            after[:-1], after[-1] = word[1:], at + n < len(data) and _IS_WORD[data[at + n]]
+            start, end = np.flatnonzero(word & ~(before & ~edge[:n])), np.flatnonzero(word & ~(after & ~edge[1:])) + 1
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+            # Where each text begins among the words of this step; one that begins at its end is counted in the next.
+            low, high = np.searchsorted(offset, [at, at + n])
+            counts[low:high] = total + np.searchsorted(start, offset[low:high] - at)
+            total += len(start)
+            first = np.zeros(0, np.uint64)
+            if begun >= 0:
+                here = int(sums[end[0]] if len(end) else sums[n])
+                partial = (partial + here * pow(_P, at - begun, 1 << 64)) % (1 << 64)
+                if not len(end):
+                    continue
+                first, begun = np.array([partial], np.uint64), -1
+                if places:
+                    ends.append(end[:1] + at)
+                end = end[1:]
+            if len(start) > len(end):
+                begun, partial = at + int(start[-1]), (int(sums[n]) - int(sums[start[-1]])) * pow(_PINV, int(start[-1]), 1 << 64) % (1 << 64)
+            if places:
+                starts.append(start + at)
+                ends.append(end + at)
+            whole = start[: len(end)]
+            hashes += [first, (sums[end] - sums[whole]) * down[whole]]
+        counts[np.searchsorted(offset, len(data)) :] = total
+        self.h = mix(np.concatenate([np.zeros(0, np.uint64), *hashes]))
+        if places:
+            none = np.zeros(0, np.int64)
+            self.start, self.end = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+        self.of = counts
         self.n = np.diff(self.of)
 
-    def hashes(self) -> np.ndarray:
-        """One hash a word, the same for the same word anywhere."""
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power(_P, len(self.data)), out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * _power(_PINV, len(self.data) + 1)[self.start])
-
     def shingles(self, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k words (a text of fewer words has one shingle, of all its words), and where each text's begin."""
-        h, n = self.hashes(), self.n
-        total = len(h)
-        left = np.repeat(self.of[1:], n) - np.arange(total)
-        out = np.zeros(total, np.uint64)
-        for j in range(k):
-            if j < total:
-                out[: total - j] += np.where(left[: total - j] > j, h[j:] * _ROLE[j], np.uint64(0))
-        keep = left >= k
-        few = (n > 0) & (n < k)
-        keep[self.of[:-1][few]] = True
-        of = np.concatenate([[0], np.cumsum(np.where(few, 1, np.maximum(n - k + 1, 0)))])
+        h, n = self.h, self.n
+        m = max(0, len(h) - k + 1)
+        out, keep = np.zeros(len(h), np.uint64), np.ones(len(h), bool)
+        for j in range(k if m else 0):
+            out[:m] += h[j : j + m] * _ROLE[j]
+        for j in range(1, k):
+            keep[(self.of[1:] - j)[n >= j]] = False
+        few = np.flatnonzero((n > 0) & (n < k))
+        first = self.of[:-1][few]
+        for j in range(k - 1):
+            some = n[few] > j
+            out[first[some]] = (out[first[some]] if j else 0) + h[first[some] + j] * _ROLE[j]
+        keep[first] = True
+        of = np.concatenate([[0], np.cumsum(np.where((n > 0) & (n < k), 1, np.maximum(n - k + 1, 0)))])
         return mix(out[keep]), of
 
 
