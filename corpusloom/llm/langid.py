@@ -1,6 +1,8 @@
 r"""Operator 3: language identification by Bayesian evidence fusion.
 
-Classes are the declared languages of the corpus (primary subtags such as ``en``) and ``und``.  For each record
+Classes are the declared languages of the corpus (primary subtags such as ``en``) with ``LEAST_SHARE`` of the declared text
+or more, and ``und``.  A rarer code (markup holds many that are no languages) is evidence like any, but no class.  For
+each record
 
     log P(l | all) = log P(l | host) + TEMPER * log P(text | l) + log P(declared | l) + log P(suffix | l) + const
 
@@ -19,7 +21,9 @@ BUCKETS numbers a language.
 Defined results: a text without a letter, an empty or a null one is ``und``, posterior 1.0; a null or malformed
 declaration, address or host is no evidence.  Where no record declares a language there is no model: every record
 with some text gets a null language, posterior null, and is accepted.  Equal posteriors go to the language first in the
-alphabet.  Repeated rows are records of their own.  Extra columns are carried along if named in ``keys``.
+alphabet.  Repeated rows are records of their own.  Extra columns are carried along if named in ``keys``.  An id that is no
+number is null.  ``in_known_language`` judges rows without a doc_id too; rows that share one are one document, which goes
+if one of them is rejected.
 """
 
 from __future__ import annotations
@@ -32,10 +36,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import minus, written
+from .shared import minus, with_ids, written
 from .textkit import raw, slices
 
 BUCKETS, ALPHA, MIXED, PULL, UND_PRIOR, LEAST_POSTERIOR = 8192, 0.5, 0.05, 10.0, 0.001, 0.5
+#: A declaration that has a smaller share of the trigrams of all declared text is no class, so there are at most 1,000.
+LEAST_SHARE = 0.001
 TEMPER = 1 / 3
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 LANG = r"^([a-z]{2,3})(?:[-_].*)?$"
@@ -51,7 +57,7 @@ def records_of_documents(docs: DataFrame) -> DataFrame:
     """Records of documents: the column lang is the declaration, source the host."""
     none = F.lit(None).cast("string")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string").alias("text"),
+        F.col("doc_id").try_cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string").alias("text"),
         _or_null(LANG, F.col("lang")).alias("declared"), F.col("source").cast("string").alias("host"), none.alias("domain"), none.alias("suffix"),
     )
 
@@ -60,7 +66,7 @@ def records_of_pages(pages: DataFrame) -> DataFrame:
     """Records of web pages: the markup's language attribute is the declaration; host, domain and suffix are the address's."""
     host = _or_null(HOST, F.col("url"))
     return pages.select(
-        F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("html", MARKUP, " ").alias("text"),
+        F.lit(None).cast("long").alias("doc_id"), F.col("page_id").try_cast("long").alias("page_id"), F.regexp_replace("html", MARKUP, " ").alias("text"),
         F.nullif(F.regexp_extract(F.lower(F.regexp_extract("html", HTML_LANG, 1)), LANG, 1), F.lit("")).alias("declared"), host.alias("host"),
         F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")).alias("domain"), F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")).alias("suffix"),
     )
@@ -82,7 +88,7 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     keep = np.zeros(len(chars), bool)
     keep[:-2] = side[:-2] & letter[1:-1] & side[2:]
     keep[(ends[n > 0] - 1)] = keep[(ends[n > 0] - 2)] = False
-    return code[keep[:-2]], np.concatenate([[0], np.cumsum(keep)[ends - 1]])
+    return code[keep[:-2]], np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
 
 
 def trigram_counts(records: DataFrame) -> DataFrame:
@@ -132,14 +138,16 @@ def _share(counts: DataFrame, by: list[str], name: str, langs: list[str]) -> Dat
 
 def identify(records: DataFrame, keys: list[str]) -> DataFrame:
     """keys, lang, posterior (4 places) and accepted of each record (keys, text, declared, host, domain, suffix)."""
-    model = trigram_counts(records).collect()
-    langs = sorted({r["declared"] for r in model})
+    model = trigram_counts(records).toArrow().combine_chunks()
+    names, whose = model.column("declared").to_pylist(), model.column("bucket").to_numpy()
+    declared, place = np.unique(np.array(names, object), return_inverse=True) if names else (np.zeros(0, object), np.zeros(0, np.int64))
+    found = np.zeros((len(declared), BUCKETS))
+    found[place, whose] = model.column("n").to_numpy()
+    frequent = found.sum(1) >= LEAST_SHARE * found.sum()
+    langs, counts = declared[frequent].tolist(), found[frequent]
     if not langs:
         has = F.coalesce(F.length("text"), F.lit(0)) > 0
         return records.select(*keys, F.when(~has, F.lit("und")).alias("lang"), F.when(~has, F.lit(1.0)).alias("posterior"), has.alias("accepted"))
-    counts = np.zeros((len(langs), BUCKETS))
-    for r in model:
-        counts[langs.index(r["declared"]), r["bucket"]] = r["n"]
     logp = np.log((1 - MIXED) * (counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * BUCKETS) + MIXED / BUCKETS)
     found = written(likelihoods(records, langs, logp, keys), "likelihoods")
     names = F.array(*map(F.lit, langs))
@@ -185,8 +193,8 @@ def identify(records: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of documents that aren't rejected; by doc_id, so rows with a null doc_id stay."""
-    gone = identify(records_of_documents(docs), ["doc_id"]).where("NOT accepted AND doc_id IS NOT NULL")
+    """The rows of documents that aren't rejected."""
+    gone = identify(records_of_documents(with_ids(docs)), ["doc_id"]).where("NOT accepted")
     return minus(docs, gone.select("doc_id").distinct())
 
 
@@ -201,8 +209,9 @@ r AS MATERIALIZED (SELECT row_number() OVER () AS k, * FROM records),
 c AS MATERIALIZED (SELECT k, list_transform(string_split(' ' || lower(text) || ' ', ''), lambda x: CAST(unicode(x) AS BIGINT)) AS c FROM r WHERE length(text) > 0),
 g AS MATERIALIZED (SELECT k, unnest(list_transform(list_filter(range(1, len(c) - 1), lambda i: {_LETTER.format('c[i + 1]')} AND (c[i] = 32 OR {_LETTER.format('c[i]')}) AND (c[i + 2] = 32 OR {_LETTER.format('c[i + 2]')})), lambda i: (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % {BUCKETS})) AS b FROM c),
 gb AS MATERIALIZED (SELECT k, b, count(*) AS n FROM g GROUP BY k, b),
-langs AS MATERIALIZED (SELECT DISTINCT declared AS lang FROM gb JOIN r USING (k) WHERE declared IS NOT NULL),
-tot AS (SELECT declared AS lang, sum(n) AS n FROM gb JOIN r USING (k) WHERE declared IS NOT NULL GROUP BY 1),
+every AS (SELECT declared AS lang, sum(n) AS n FROM gb JOIN r USING (k) WHERE declared IS NOT NULL GROUP BY 1),
+tot AS MATERIALIZED (SELECT lang, n FROM every WHERE n >= {LEAST_SHARE} * (SELECT sum(n) FROM every)),
+langs AS (SELECT lang FROM tot),
 cnt AS (SELECT declared AS lang, b, sum(n) AS n FROM gb JOIN r USING (k) WHERE declared IS NOT NULL GROUP BY 1, 2),
 logp AS MATERIALIZED (SELECT lang, b, ln({1 - MIXED} * (coalesce(cnt.n, 0) + {ALPHA}) / (tot.n + {ALPHA * BUCKETS}) + {MIXED} / {BUCKETS}.0) AS lp FROM langs CROSS JOIN (SELECT DISTINCT b FROM gb) JOIN tot USING (lang) LEFT JOIN cnt USING (lang, b)),
 text_log AS MATERIALIZED (SELECT k, lang, sum(gb.n * lp) / 3 AS t, sum(gb.n) AS n FROM gb JOIN logp USING (b) GROUP BY k, lang),
