@@ -1,7 +1,7 @@
 """Operator 7: media columns.  Netpbm and BMP pictures to NPY tiles with difference hashes.
 
-A picture (P1 to P6, or BMP of 1, 4, 8, 24 or 32 bits, uncompressed, from either side) is decoded to a numpy array of
-height x width x channels of 8 bits, resized to ``SIDE`` x ``SIDE`` by exact area means, and cut into tiles of ``TILE``
+A picture (P1 to P7, or BMP of 1, 4, 8, 24 or 32 bits, uncompressed, from either side) is decoded to a numpy array of
+height x width x channels of 8 bits (opacity is left out), resized to ``SIDE`` x ``SIDE`` by exact area means, and cut into tiles of ``TILE``
 x ``TILE``; each tile is an NPY file in a binary column with a 64-bit difference hash.
 
 Area means come from the integral image: its value between pixels is linear in either direction, so four values give
@@ -11,13 +11,15 @@ Plan.  One pass over the media column, batch by batch; nothing is shuffled, and
 image.
 
 Defined results: a null, empty, truncated or otherwise unreadable picture gives one row with ``error`` and null tile
-columns.  Samples of 16 bits are scaled to 8.  A maximum that isn't 255 is scaled; samples over it are cut to it.  Bytes
+columns, whatever its bytes are.  Samples of 16 bits are scaled to 8.  A maximum that isn't 255 is scaled; samples over it are cut to it.  Bytes
 after a picture's last sample are ignored.  Equal neighbours give a 0 bit.  Repeated rows give rows of their own.
 """
 
 from __future__ import annotations
 
+import functools
 import io
+import re
 import struct
 from collections.abc import Iterator
 
@@ -36,24 +38,50 @@ class Unreadable(ValueError):
     pass
 
 
+_SPACE = re.compile(rb"(?:\s+|#[^\n]*)*")
+_NUMBER = re.compile(rb"[0-9]{1,9}(?![0-9])")
+
+
 def _header(data: bytes, n: int) -> tuple[list[int], int]:
     """n numbers of a Netpbm header, and where the samples begin: after one white space."""
     out, at = [], 2
     while len(out) < n:
-        while at < len(data) and (data[at : at + 1].isspace() or data[at] == 35):
-            at = (data.find(b"\n", at) if b"\n" in data[at:] else len(data)) if data[at] == 35 else at + 1
-        end = at
-        while end < len(data) and 48 <= data[end] <= 57:
-            end += 1
-        if end == at or end - at > 9:
+        at = _SPACE.match(data, at).end()
+        number = _NUMBER.match(data, at)
+        if not number:
             raise Unreadable("header")
-        out.append(int(data[at:end]))
-        at = end
+        out.append(int(number[0]))
+        at = number.end()
     if at >= len(data) or not data[at : at + 1].isspace():
         raise Unreadable("truncated")
     return out, at + 1
 
 
+def _plain(data: bytes, at: int, n: int, most: int) -> np.ndarray:
+    """n decimal numbers from ``at`` on, parted by white space and comments; what is over ``most`` is ``most``."""
+    body = np.frombuffer(re.sub(rb"#[^\n]*", b" ", data[at:]) if b"#" in data[at:] else data[at:], np.uint8)
+    ink = ~_BLANK[body]
+    edge = np.diff(np.concatenate([[False], ink, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edge == 1)[:n], np.flatnonzero(edge == -1)[:n]
+    if len(start) < n:
+        raise Unreadable("truncated")
+    digit = body - np.uint8(48)
+    if (ink & (digit > 9))[: end[-1]].any():
+        raise Unreadable("sample")
+    size = end - start
+    out = np.zeros(n, np.int64)
+    for j in range(int(min(size.max(), 17))):
+        some = size > j
+        out[some] = out[some] * 10 + digit[start[some] + j]
+    for i in np.flatnonzero(size > 17):
+        long = body[start[i] : end[i]].tobytes().lstrip(b"0")
+        out[i] = int(long or b"0") if len(long) < 18 else most
+    return np.minimum(out, most)
+
+
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+
 def _taken(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
     if n * np.dtype(kind).itemsize > len(data) - at:
         raise Unreadable("truncated")
@@ -63,37 +91,52 @@ def _taken(data: bytes, at: int, n: int, kind: str) -> np.ndarray:
 def netpbm(data: bytes) -> np.ndarray:
     kind = data[1:2]
     bits = kind in b"14"
-    (width, height, *most), at = _header(data, 2 if bits else 3)
-    most = most[0] if most else 1
-    channels = 3 if kind in b"36" else 1
+    if kind == b"7":
+        width, height, channels, most, at = _arbitrary(data)
+    else:
+        (width, height, *limit), at = _header(data, 2 if bits else 3)
+        most = limit[0] if limit else 1
+        channels = 3 if kind in b"36" else 1
     if not width or not height or not 0 < most < 65536:
         raise Unreadable("size")
     n = width * height * channels
     if kind == b"4":
         row = (width + 7) // 8
         out = np.unpackbits(_taken(data, at, row * height, "u1").reshape(height, row), axis=1)[:, :width]
-    elif kind in b"56":
+    elif kind in b"567":
         out = _taken(data, at, n, "u1" if most < 256 else ">u2")
-    else:
-        body = b"".join(x.partition(b"#")[0] + b"\n" for x in data[at:].split(b"\n")) if b"#" in data[at:] else data[at:]
-        try:
-            if kind == b"1":
-                digits = np.frombuffer(b"".join(body.split()), np.uint8)[:n] - 48
-                if (digits > 1).any():
-                    raise Unreadable("sample")
-                out = digits
-            else:
-                out = np.array(body.split()[:n], np.int64)
-        except ValueError:
-            raise Unreadable("sample") from None
+    elif n > len(data):
+        raise Unreadable("truncated")
+    elif kind == b"1":
+        body = re.sub(rb"#[^\n]*", b"", data[at:]) if b"#" in data[at:] else data[at:]
+        out = np.frombuffer(body, np.uint8)
+        out = out[~_BLANK[out]][:n] - np.uint8(48)
         if len(out) < n:
             raise Unreadable("truncated")
-        if kind != b"1" and (out < 0).any():
+        if (out > 1).any():
             raise Unreadable("sample")
+    else:
+        out = _plain(data, at, n, most)
     out = out.reshape(height, width, channels)
     if bits:
         return ((1 - out) * 255).astype(np.uint8)
-    return out.astype(np.uint8) if most == 255 and kind in b"56" else (np.minimum(out, most).astype(np.int64) * 255 // most).astype(np.uint8)
+    if kind == b"7":
+        out = out[:, :, : channels - (channels in (2, 4))]
+    return np.ascontiguousarray(out) if most == 255 and out.dtype == np.uint8 else (np.minimum(out, most).astype(np.int64) * 255 // most).astype(np.uint8)
+
+
+def _arbitrary(data: bytes) -> tuple[int, int, int, int, int]:
+    """Width, height, channels, maximum of a P7 header, and where the samples begin."""
+    end = re.compile(rb"^ENDHDR[ \t]*\n", re.M).search(data)
+    if not end:
+        raise Unreadable("header")
+    said = dict(re.findall(rb"^[ \t]*(WIDTH|HEIGHT|DEPTH|MAXVAL)[ \t]+([0-9]{1,9})[ \t]*$", data[: end.start()], re.M))
+    if len(said) < 4:
+        raise Unreadable("header")
+    width, height, depth, most = (int(said[x]) for x in (b"WIDTH", b"HEIGHT", b"DEPTH", b"MAXVAL"))
+    if not 1 <= depth <= 4:
+        raise Unreadable("depth")
+    return width, height, depth, most, end.end()
 
 
 def bmp(data: bytes) -> np.ndarray:
@@ -128,36 +171,58 @@ def decoded(data: bytes | None) -> tuple[str, np.ndarray]:
     """Format, and height x width x channels of 8 bits."""
     if not data:
         raise Unreadable("empty")
-    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6"):
+    if data[:1] == b"P" and data[1:2] in (b"1", b"2", b"3", b"4", b"5", b"6", b"7"):
         return data[:2].decode(), netpbm(data)
     if data[:2] == b"BM":
         return "BMP", bmp(data)
     raise Unreadable("unknown format")
 
 
-def resized(picture: np.ndarray, height: int, width: int) -> np.ndarray:
-    """The mean over each of height x width equal boxes, of numbers."""
+def integral(picture: np.ndarray) -> np.ndarray:
+    """Sums over all pixels above and to the left of each corner of the pixels' grid."""
     h, w = picture.shape[:2]
-    integral = np.zeros((h + 1, w + 1, picture.shape[2]))
-    np.cumsum(np.cumsum(picture, 0, dtype=np.float64), 1, out=integral[1:, 1:])
+    out = np.zeros((h + 1, w + 1, picture.shape[2]))
+    np.cumsum(picture, 0, dtype=np.float64, out=out[1:, 1:])
+    np.cumsum(out[1:, 1:], 1, out=out[1:, 1:])
+    return out
+
+
+@functools.lru_cache(4096)
+def _edges(n: int, into: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(into + 1) * (n / into)
+    low = np.minimum(at.astype(np.int64), n - 1)
+    return low, at - low
 
-    def edges(n: int, into: int) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(into + 1) * (n / into)
-        low = np.minimum(at.astype(np.int64), n - 1)
-        return low, at - low
 
-    low, part = edges(h, height)
-    rows = integral[low] + (integral[low + 1] - integral[low]) * part[:, None, None]
-    low, part = edges(w, width)
-    both = rows[:, low] + (rows[:, low + 1] - rows[:, low]) * part[None, :, None]
-    return np.diff(np.diff(both, axis=0), axis=1) * (height * width / (h * w))
+def means(sums: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The mean over each of height x width equal boxes of the picture with these sums, as fractions."""
+    h, w = sums.shape[0] - 1, sums.shape[1] - 1
+    low, part = _edges(h, height)
+    rows = sums[low]
+    rows += (sums[low + 1] - rows) * part[:, None, None]
+    low, part = _edges(w, width)
+    both = rows[:, low]
+    both += (rows[:, low + 1] - both) * part[None, :, None]
+    strips = both[1:] - both[:-1]
+    return (strips[:, 1:] - strips[:, :-1]) * (height * width / (h * w))
+
+
+def resized(picture: np.ndarray, height: int, width: int) -> np.ndarray:
+    return means(integral(picture), height, width)
+
+
+def _hashes(small: np.ndarray) -> np.ndarray:
+    """Signed 64-bit numbers of pictures x 8 x 9 area means of grey: whether each is brighter than the one before, row by row."""
+    return np.packbits((small[:, :, 1:] - small[:, :, :-1] > 1e-6).reshape(len(small), 64), axis=1).view(">i8")[:, 0].astype(np.int64)
+
+
+def _grey(means: np.ndarray) -> np.ndarray:
+    return means[..., 0] if means.shape[-1] == 1 else means @ _GREY
 
 
 def difference_hash(picture: np.ndarray) -> int:
     """64 bits: in 8 rows of 9 area means of grey, whether each is brighter than the one before; row by row, as a signed number."""
-    small = resized(picture, 8, 9)
-    grey = small[:, :, 0] if small.shape[2] == 1 else small @ _GREY
-    return int(np.packbits((grey[:, 1:] - grey[:, :-1]) > 1e-6).view(">i8")[0])
+    return int(_hashes(_grey(resized(picture, 8, 9))[None])[0])
 
 
 _headers: dict[tuple, bytes] = {}
@@ -175,16 +240,20 @@ def tiles_of(data: bytes | None, side: int = SIDE, tile: int = TILE) -> list[tup
     """Rows of SCHEMA for one picture."""
     try:
         kind, picture = decoded(data)
-    except Unreadable as e:
-        return [(None,) * 9 + (str(e),)]
-    small = np.rint(resized(picture, side, side)).astype(np.uint8)
-    known = (kind, *picture.shape, difference_hash(picture))
-    out = []
-    for r in range(0, side, tile):
-        for c in range(0, side, tile):
-            part = small[r : r + tile, c : c + tile]
-            out.append((*known, r // tile, c // tile, npy(part), difference_hash(part), None))
-    return out
+    except (ValueError, ArithmeticError, IndexError, struct.error, MemoryError) as e:  # Unreadable, and what damage may cause besides
+        return [(None,) * 9 + (str(e) or type(e).__name__,)]
+    sums, channels = integral(picture), picture.shape[2]
+    small = np.rint(means(sums, side, side)).astype(np.uint8)
+    known = (kind, *picture.shape, int(_hashes(_grey(means(sums, 8, 9))[None])[0]))
+    places = [(r, c) for r in range(0, side, tile) for c in range(0, side, tile)]
+    parts = [small[r : r + tile, c : c + tile] for r, c in places]
+    if side % tile:
+        found = [difference_hash(x) for x in parts]
+    else:
+        # All tiles are one picture with as many channels, so one pass makes all their means.
+        each = means(integral(np.concatenate(parts, 2)), 8, 9).reshape(8, 9, len(parts), channels)
+        found = _hashes(np.ascontiguousarray(_grey(each).transpose(2, 0, 1))).tolist()
+    return [(*known, r // tile, c // tile, npy(x), h, None) for (r, c), x, h in zip(places, parts, found, strict=True)]
 
 
 def tiled(media: DataFrame, key: str, column: str, side: int = SIDE, tile: int = TILE) -> DataFrame:
@@ -221,9 +290,17 @@ def encoded(kind: str, picture: np.ndarray) -> bytes:
     head = f"{kind}\n# made\n{width} {height}\n".encode()
     if kind in ("P1", "P4"):
         bits = (picture[:, :, 0] < 128).astype(np.uint8)
-        return head + (np.packbits(bits, axis=1).tobytes() if kind == "P4" else b"\n".join(bytes(48 + r) for r in bits))
-    body = picture.tobytes() if kind in ("P5", "P6") else b"\n".join(b" ".join(b"%d" % x for x in r.ravel()) for r in picture)
-    return head + b"255\n" + body
+        return head + (np.packbits(bits, axis=1).tobytes() if kind == "P4" else np.append(bits + np.uint8(48), np.full((height, 1), 10, np.uint8), 1).tobytes())
+    if kind in ("P5", "P6"):
+        return head + b"255\n" + picture.tobytes()
+    # Three figures and a space for each sample; the last of a row is followed by a line's end.
+    flat = picture.reshape(height, -1)
+    figures = np.empty((*flat.shape, 4), np.uint8)
+    for j, power in enumerate((100, 10, 1)):
+        figures[:, :, j] = flat // power % 10 + 48
+    figures[:, :, 3] = 32
+    figures[:, -1, 3] = 10
+    return head + b"255\n" + figures.tobytes()
 
 
 KINDS = {"P1": 1, "P2": 1, "P3": 3, "P4": 1, "P5": 1, "P6": 3, "BMP8": 1, "BMP24": 3}
