@@ -1,13 +1,15 @@
 """Operator 9: a WARC reader that salvages what damage leaves.
 
 A file is read from its start, record by record; a record is a gzip member or stands plain.  A record is checked: the
-member's own checksum, the version line, the header, Content-Length, the end mark and, where the header has one, the
-SHA-1 digest of the block.  When a check fails the reader searches from the next byte for a place that starts a valid
+member's own checksum, the version line, the header (lines that begin with a space go on with the one before),
+Content-Length, the end mark and, where the header has one, the digest of the block (SHA-1, SHA-256 or MD5; others aren't
+checked).  When a check fails the reader searches from the next byte for a place that starts a valid
 record (a gzip member, or a version line), takes up reading there, and logs the bytes between as a quarantined gap.  A
 place in damaged bytes that only looks like a start fails its own checks and the search goes on.
 
 Plan.  Tasks get (path, length) of files, never their bytes through Spark's rows; a task reads its files from the shared
-file system by blocks, with memory for one record and one block.  Files are spread over the tasks by size by the file
+file system by blocks, with memory for one record and one block.  What a record says of its length is believed once its
+end mark stands there, and a record of over ``MOST`` bytes, unzipped, is a gap: a Spark row couldn't hold it.  Files are spread over the tasks by size by the file
 source.  Nothing is shuffled.
 
 Defined results: an empty file has neither records nor gaps.  A file without any valid record is one gap.  Bytes of an
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .shared import fresh
 
-BLOCK, HEADER = 1 << 20, 1 << 20
+BLOCK, HEADER, MOST = 1 << 20, 1 << 20, 1 << 30
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 SCHEMA = "file string, kind string, start long, length long, reason string, type string, record_id string, url string, date string, block binary"
 _FIELDS = [("file", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("type", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("date", pa.string()), ("block", pa.binary())]
@@ -51,7 +53,7 @@ def parsed(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
     if end < 0:
         raise Damage("header without end")
     header: dict[str, str] = {}
-    for line in data[10:end].split(b"\r\n"):
+    for line in re.sub(rb"\r\n[ \t]+", b" ", data[10:end]).split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("header line without colon")
@@ -65,9 +67,11 @@ def parsed(data: bytes, whole: bool) -> tuple[dict[str, str], bytes, int]:
     if whole and len(data) != stop + 4:
         raise Damage("bytes after the record")
     block = data[start:stop]
-    digest = header.get("warc-block-digest", "")
-    if digest.lower().startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest[5:].upper():
-        raise Damage("digest differs")
+    how, _, said = header.get("warc-block-digest", "").partition(":")
+    if how.lower() in ("sha1", "sha256", "md5"):
+        found = hashlib.new(how.lower(), block, usedforsecurity=False).digest()
+        if said.upper().rstrip("=") not in (base64.b32encode(found).decode().rstrip("="), found.hex().upper()):
+            raise Damage("digest differs")
     return header, block, stop + 4
 
 
@@ -83,13 +87,22 @@ class File:
             self.at, self.have = start, self.handle.read_at(min(max(n, BLOCK), self.size - start), start)
         return self.have[start - self.at : start - self.at + n]
 
+    def glance(self, start: int, n: int) -> bytes:
+        """A few bytes, without giving up the block that is kept."""
+        if self.at <= start and start + n <= self.at + len(self.have):
+            return self.read(start, n)
+        return self.handle.read_at(max(0, min(n, self.size - start)), start)
+
     def member(self, start: int) -> tuple[dict[str, str], bytes, int]:
-        unzip, parts, at = zlib.decompressobj(31), [], start
+        unzip, parts, at, held = zlib.decompressobj(31), [], start, 0
         try:
             while not unzip.eof:
                 if not (some := self.read(at, 1 << 16)):
                     raise Damage("member without end")
-                parts.append(unzip.decompress(some))
+                parts.append(unzip.decompress(some, MOST - held + 1))
+                held += len(parts[-1])
+                if held > MOST:
+                    raise Damage("record too long")
                 if len(parts) == 1 and not (parts[0] or b"WARC/").startswith(b"WARC/"[: len(parts[0]) or 5]):
                     raise Damage("no version line")
                 at += len(some)
@@ -107,9 +120,14 @@ class File:
         size = re.search(rb"(?im)^content-length:\s*([0-9]{1,18})\s*$", data[:end].replace(b"\r\n", b"\n"))
         if size is None:
             raise Damage("no Content-Length")
-        if start + end + 8 + int(size[1]) > self.size:
+        stop = start + end + 4 + int(size[1])
+        if stop + 4 > self.size:
             raise Damage("record goes past the file's end")
-        return parsed(self.read(start, end + 8 + int(size[1])), False)
+        if int(size[1]) > MOST:
+            raise Damage("record too long")
+        if self.glance(stop, 4) != b"\r\n\r\n":
+            raise Damage("no end mark where Content-Length says")
+        return parsed(self.read(start, stop + 4 - start), False)
 
     def record(self, start: int) -> tuple[dict[str, str], bytes, int]:
         head = self.read(start, 10)
@@ -234,7 +252,7 @@ def write_warc(pages: DataFrame, path: str, damage: bool = False) -> None:
             fs.delete_file(tried)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
-    pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    pages.select(F.col("page_id").try_cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
