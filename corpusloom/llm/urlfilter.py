@@ -6,12 +6,12 @@ as of its fetch time with the intervals of all its keys: each domain suffix of i
 ``org``) and each path prefix (``a.b.org/x``, ``a.b.org/x/y``).  The longest key with an active entry decides.
 
 Plan.  An equality join on the key with the interval as a further condition, so Spark broadcasts the list while it is
-small and otherwise shuffles by key, where AQE splits the keys that many captures share (``com``).  Hosts without
-any entry are left with their capture by the grouped maximum, which is combined before its shuffle.
+small and otherwise shuffles by key, where AQE splits the keys that many captures share (``com``).  Only the keys that
+are in the list go on; with one row for each capture they meet in a grouped maximum, which is combined before its shuffle.
 
 Defined results: of entries with equal key and time the first action in the alphabet holds.  Entries with a null key,
 action or time are ignored; a null category stays null.  A capture with a null or malformed address or a null time is
-not decided by any entry (``decision`` none).  Repeated captures are one row.  Extra columns are ignored.
+not decided by any entry (``decision`` none).  A numeric address in brackets is a host of one label.  Repeated captures are one row.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)(?::[0-9]*)?(/[^?#]*)?"
+PARTS = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?(\[[0-9a-f:.]+\]|[^/:?#\[\]]+)(?::[0-9]*)?(/[^?#]*)?"
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -33,7 +33,7 @@ def keys(url: Column) -> Column:
     """All keys of an address, as an array; null for an address without a host."""
     # Scheme and host don't depend on case; paths are compared in lower case too, as lists are.
     host = F.nullif(F.regexp_extract(F.lower(url), PARTS, 1), F.lit(""))
-    labels = F.split(host, r"\.")
+    labels = F.when(F.startswith(host, F.lit("[")), F.array(host)).otherwise(F.split(host, r"\."))
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     parts = F.filter(F.split(F.regexp_extract(F.lower(url), PARTS, 2), "/"), lambda x: x != "")
     paths = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
@@ -43,10 +43,11 @@ def keys(url: Column) -> Column:
 def judged(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, url, fetched, decision, key, category) of each capture (page_id, url, fetched)."""
     spans = intervals(entries).withColumnRenamed("key", "k")
-    each = captures.select(F.col("page_id"), F.col("url"), F.col("fetched")).select("*", F.explode_outer(keys(F.col("url"))).alias("key"))
+    each = captures.select(F.col("page_id"), F.col("url"), F.col("fetched"))
     active = (F.col("key") == F.col("k")) & (F.col("fetched") >= F.col("start")) & (F.col("end").isNull() | (F.col("fetched") < F.col("end")))
-    best = F.max(F.when(F.col("k").isNotNull(), F.struct(F.length("key").alias("n"), "key", "action", "category")))
-    return each.join(spans, active, "left").groupBy("page_id", "url", "fetched").agg(best.alias("e")).select("page_id", "url", "fetched", F.coalesce("e.action", F.lit("none")).alias("decision"), "e.key", "e.category")
+    hits = each.select("*", F.explode(keys(F.col("url"))).alias("key")).join(spans, active).select("page_id", "url", "fetched", F.struct(F.length("key").alias("n"), "key", "action", "category").alias("e"))
+    every = hits.unionByName(each.withColumn("e", F.lit(None).cast(hits.schema["e"].dataType)))
+    return every.groupBy("page_id", "url", "fetched").agg(F.max("e").alias("e")).select("page_id", "url", "fetched", F.coalesce("e.action", F.lit("none")).alias("decision"), "e.key", "e.category")
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
