@@ -7,11 +7,14 @@ and of the keys of one arc those of least (hash, key) first; a key once taken st
 shards, and a new shard takes keys from its neighbours on the ring, not from everywhere.
 
 Plan.  Only the key column is read.  The keys are counted by arc; the rounds are played on the counts of the arcs on the
-driver (shards * VNODES numbers, whatever the input).  Arcs that go to one shard whole need no order; only the keys of
-arcs that are split are ranked, by a window partitioned by arc.
+driver (shards * VNODES numbers, whatever the input).  Arcs that go to one shard whole need no order.  Of arcs that are
+split, the rows of each key are counted (combined before the shuffle), the keys are ranked by the sum of the counts before
+them, within ranges of the hash, and a key's rows are written out again in runs of ``RUN``, spread over the tasks.  So
+neither a long arc nor a key that a third of all rows have is one task's.
 
-Defined results: a null key hashes like any key, to one place.  Repeated rows are keys of their own, and where an arc is
-split between them any of them may be the one that goes on.  Extra columns are ignored.  An empty table has no rows.
+Defined results: a null key hashes like any key, to one place.  Repeated rows are keys of their own; as they are alike, it is
+their number that is split between shards.  A key may have any type with an order.  Extra columns are ignored.  An empty
+table has no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 SHARDS, VNODES, EPS = 64, 128, 0.05
 #: Pieces of arcs that are broadcast at most; it follows from the ring's size, not from the data.
 BROADCAST_PIECES = 1_000_000
+#: Top bits of the hash that name a range, and rows of one key that are written out by one step.
+_BITS, RUN = 20, 1 << 16
 
 
 def ring(shards: list[int], vnodes: int = VNODES) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +71,8 @@ def assign(docs: DataFrame, shards: int | list[int] = SHARDS, vnodes: int = VNOD
             at = np.searchsorted(sent.value, batch.column("h").to_numpy()) % len(sent.value)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("h"), pa.array(at.astype(np.int32))], ["key", "h", "arc"])
 
-    keys = docs.select(F.col(key).cast("long").alias("key")).withColumn("h", F.xxhash64("key")).mapInArrow(arcs, "key long, h long, arc int")
+    kind = docs.select(F.col(key)).schema[0].dataType.simpleString()
+    keys = docs.select(F.col(key).alias("key")).withColumn("h", F.xxhash64("key")).mapInArrow(arcs, f"key {kind}, h long, arc int")
     counts = {r["arc"]: r["n"] for r in keys.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     n = sum(counts.values())
     pieces = placed(counts, owner, -int(-(1 + eps) * n // len(np.unique(owner))) if n else 0)
@@ -74,6 +80,12 @@ def assign(docs: DataFrame, shards: int | list[int] = SHARDS, vnodes: int = VNOD
     small = (lambda x: F.broadcast(x)) if len(pieces) <= BROADCAST_PIECES else (lambda x: x)
     whole = keys.join(small(table.where("whole")), "arc").select("key", "shard", "home")
     split = table.where("NOT whole")
-    ranked = keys.join(small(split.select("arc").distinct()), "arc", "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("h", F.col("key").asc_nulls_first())) - 1)
-    parted = ranked.join(small(split), (ranked["arc"] == split["arc"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("key", "shard", "home")
-    return whole.unionByName(parted).withColumnRenamed("key", key)
+    each = keys.join(small(split.select("arc").distinct()), "arc", "left_semi").groupBy("arc", "h", "key").agg(F.count("*").alias("n")).withColumn("range", F.shiftright("h", 64 - _BITS))
+    ranges = each.groupBy("arc", "range").agg(F.sum("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.partitionBy("arc").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    within = Window.partitionBy("arc", "range").orderBy("h", F.col("key").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = each.withColumn("earlier", F.coalesce(F.sum("n").over(within), F.lit(0))).join(ranges, ["arc", "range"]).withColumn("from", F.col("start") + F.col("earlier"))
+    rows = F.least("high", F.col("from") + F.col("n")) - F.greatest("low", "from")
+    parted = ranked.join(small(split), (ranked["arc"] == split["arc"]) & (F.col("from") < F.col("high")) & (F.col("from") + F.col("n") > F.col("low"))).select("key", "shard", "home", rows.alias("rows"))
+    runs = parted.select("key", "shard", "home", "rows", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / RUN))).alias("run")).repartition("key", "run")
+    out = runs.select("key", "shard", "home", F.explode(F.array_repeat(F.lit(0), F.least(F.lit(RUN), F.col("rows") - F.col("run") * RUN).cast("int"))).alias("_")).drop("_")
+    return whole.unionByName(out).withColumnRenamed("key", key)

@@ -55,3 +55,20 @@ def test_odd_rows(spark):
     assert max(collections.Counter(r["shard"] for r in rows_out).values()) <= -int(-1.05 * len(rows) // 6)
     assert sharding.assign(docs(spark, [])).collect() == []
     assert [r["shard"] for r in sharding.assign(docs(spark, [(1, "a")]), 1).collect()] == [0]
+
+
+def test_a_hot_key_is_split_by_number(spark):
+    """One key has two thirds of the rows: its rows go to several shards, each filled to its bound, and no other row is lost."""
+    df = spark.range(1000).selectExpr("id + 10 AS doc_id").unionByName(spark.range(2000).selectExpr("CAST(NULL AS BIGINT) AS doc_id"))
+    rows = sharding.assign(df, 6, 16).collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == collections.Counter([None] * 2000 + list(range(10, 1010)))
+    load = collections.Counter(r["shard"] for r in rows)
+    assert max(load.values()) <= -int(-1.05 * 3000 // 6) and len({r["shard"] for r in rows if r["doc_id"] is None}) >= 4
+    assert {tuple(r) for r in rows} == {tuple(r) for r in sharding.assign(df.repartition(5), 6, 16).collect()}
+
+
+def test_runs_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = sharding.assign(spark.range(100).selectExpr("CAST(id % 3 AS STRING) AS doc_id"), 4, 8).collect()
+    assert collections.Counter(r["doc_id"] for r in rows) == {"0": 34, "1": 33, "2": 33}
+    assert max(collections.Counter(r["shard"] for r in rows).values()) <= 27
