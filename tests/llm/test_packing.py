@@ -81,6 +81,20 @@ def test_odd_rows(spark):
     assert packing.pack(docs(spark, [(1, "")])).collect() == []
 
 
+def test_lengths_that_never_fit_together(spark):
+    """All over half a bin: no round saves anything, and still every group's bins come out, however many groups there are."""
+    rows = [(i, "x" * (600 + i % 7)) for i in range(3000)]
+    bins = packing.pack(docs(spark, rows), capacity=1000, group=20).collect()
+    assert len(bins) == 3000 and {b["doc_ids"][0] for b in bins} == set(range(3000))
+
+
+def test_later_rounds_fill_what_groups_leave(spark):
+    """Groups of one kind of length each; only merged groups can put a long and a short piece together."""
+    rows = [(i, "x" * (700 if i % 2 else 300)) for i in range(2000)]
+    bins = packing.pack(docs(spark, rows), capacity=1000, group=10).collect()
+    assert sum(b["fill"] for b in bins) == 1_000_000 and len(bins) <= 1.15 * 1000
+
+
 def test_other_lengths(spark):
     bins = packing.pack(docs(spark, [(1, "a b c"), (2, "d e")]), capacity=4, length=F.size(F.split("text", " "))).collect()
     assert sorted((b["doc_ids"], b["fill"]) for b in bins) == [([1], 3), ([2], 2)]
