@@ -7,9 +7,9 @@ similarity s has probability (1 - (1 - s^r)^m)^2.
 
 Plan.  One pass over the texts makes, per document, two fingerprints of its shingles and the half keys.  Documents
 with equal fingerprints are copies; one of each set goes on (a grouped minimum, combined before the shuffle, so a text
-that occurs a billion times is no hot key).  The table keys are exploded in the JVM.  In a bucket of up to ``NEAR`` + 1
-documents all pairs are candidates; in a larger one a document is first a candidate with the bucket's least document
-and with its ``NEAR`` predecessors in the order of one more minhash.  Each candidate pair is verified by the exact
+that occurs a billion times is no hot key).  The table keys are exploded in the JVM and sorted by ranges.  In a bucket of up
+to ``NEAR`` + 1 documents all pairs are candidates; in a larger one a document is first a candidate with the bucket's first
+document and with its ``NEAR`` predecessors in the order of one more minhash.  Each candidate pair is verified by the exact
 Jaccard similarity of the shingle sets.  Groups are the connected components of the verified pairs.
 
 The pairs that this leaves in larger buckets matter where they join groups.  So the documents of the larger buckets that
@@ -18,9 +18,11 @@ the threshold have their first common shingle in the first n - ceil(threshold *
 after it in both (prefix and position filter).  A passage that thousands share stands at the end of that order, so it
 makes no candidates by itself; nothing at the threshold is lost.  Shingles within one group are left out of the join.
 
-Defined results: a null doc_id or a null text, or one without any word, is in no group.  Rows that share a doc_id are
-one document with the shingles of each row; they make no pair with themselves.  Fewer than ``k`` words make one shingle.
-Extra columns are ignored.  An empty table has no pairs.
+Defined results: a null text, or one without any word, is in no group.  ``near_duplicates`` leaves rows out whose doc_id
+is null or no number; ``without_near_duplicates`` takes such a row as a document named by its text, so copies of it go too.
+Rows that share a doc_id are one document with the shingles of each row; they make no pair with themselves, and of rows
+that are equal in all columns one stays.  Fewer than ``k`` words make one shingle.  Extra columns are ignored.  An empty
+table has no pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import minus, written
+from .shared import BROADCAST_ROWS, document_id, minus, with_ids, written
 from .textkit import Words, mix, reduced, signed, slices
 
 K, THRESHOLD, TABLES_SIDE, ROWS = 3, 0.55, 12, 2
@@ -73,7 +75,7 @@ def signatures(docs: DataFrame, k: int = K, side: int = TABLES_SIDE, rows: int =
                     [part.column("doc_id").take(pa.array(some)).cast(pa.int64()), *map(pa.array, prints), pa.array(signed(least[-1])), *lists], ["doc_id", "fp", "fq", "place", "u", "v"]
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         make, "doc_id long, fp long, fq long, place long, u array<long>, v array<long>"
     )
 
@@ -100,25 +102,89 @@ def shingle_lists(docs: DataFrame, k: int = K, only: np.ndarray | None = None) -
                 of = np.concatenate([[0], np.cumsum(np.bincount(whose[new], minlength=part.num_rows))])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(of.astype(np.int32), signed(g[new]))], ["doc_id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, shingles array<long>")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, shingles array<long>")
 
 
 def bucketed(reps: DataFrame) -> DataFrame:
-    """(key, n, doc_id, least, before): the documents of each bucket of two or more, its least one and up to NEAR before each."""
+    """(kind, x, y): candidate pairs of documents (kind 0), and the documents y of each bucket x of over NEAR + 1 (kind 1).
+
+    The table keys are sorted over all tasks by ranges of (key, place, doc_id), so a bucket that a third of the documents
+    are in lies across as many tasks as it fills.  Each task pairs a document with up to NEAR before it in its bucket and
+    with the bucket's first.  A task's first and last bucket may go on elsewhere: their first and last rows (kind 2) are
+    paired by a second, small step, and they count as over NEAR + 1.
+    """
     keyed = reps.select("doc_id", "place", "v", F.posexplode("u").alias("i", "x")).select("doc_id", "place", "i", "x", F.posexplode("v").alias("j", "y")).select(F.xxhash64("i", "j", "x", "y").alias("key"), "place", "doc_id")
-    bucket = Window.partitionBy("key")
-    sized = keyed.withColumns({"n": F.count("*").over(bucket), "least": F.min("doc_id").over(bucket)}).where("n > 1")
-    return sized.select("key", "n", "doc_id", "least", F.collect_list("doc_id").over(bucket.orderBy("place", "doc_id").rowsBetween(-NEAR, -1)).alias("before"))
+    ordered = keyed.repartitionByRange("key", "place", "doc_id").sortWithinPartitions("key", "place", "doc_id").select("key", "doc_id")
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        # Of the bucket that is open: its key, rows so far, first document, last NEAR + 1 documents, and those not yet known to be in a large one.
+        open_key, count, lead, tail, waiting, leading = None, 0, 0, none, none, True
+        for batch in batches:
+            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            if not len(key):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            goes_on = key[0] == open_key
+            had = count if goes_on else 0
+            if not goes_on:
+                leading = leading and open_key is None
+                tail = waiting = none
+            run = np.repeat(np.arange(len(start)), size)
+            rank = np.arange(len(key)) - start[run]
+            rank[: size[0]] += had
+            first = doc[start]
+            if goes_on:
+                first[0] = lead
+            ext, a, b = np.concatenate([tail, doc]), [], []
+            for d in range(1, NEAR + 1):
+                at = np.flatnonzero(rank >= d)
+                if not len(at):
+                    break
+                a.append(doc[at])
+                b.append(ext[at + len(tail) - d])
+            far = np.flatnonzero(rank > NEAR)
+            a, b = np.concatenate([none, *a, doc[far]]), np.concatenate([none, *b, first[run[far]]])
+            other = a != b
+            out = [(0, np.minimum(a, b)[other], np.maximum(a, b)[other])]
+            total = size.copy()
+            total[0] += had
+            large = total > NEAR + 1
+            large[0] |= leading
+            if large[0] and len(waiting):
+                out.append((1, np.full(len(waiting), key[0]), waiting))
+                waiting = none
+            inside = large[run]
+            out.append((1, key[inside], doc[inside]))
+            if leading and had <= NEAR:
+                head = slice(0, min(int(size[0]), NEAR + 1 - had))
+                out.append((2, key[head], doc[head]))
+            last = slice(int(start[-1]), len(key))
+            if len(start) > 1:
+                leading, tail, waiting = False, none, none
+            if not large[-1]:
+                waiting = np.concatenate([waiting, doc[last]])
+            open_key, count, lead, tail = key[-1], int(total[-1]), int(first[-1]), np.concatenate([tail, doc[last]])[-NEAR - 1 :]
+            yield _rows(out)
+        if open_key is not None:
+            yield _rows([(1, np.full(len(waiting), open_key), waiting), (2, np.full(len(tail), open_key), tail)])
+
+    return ordered.mapInArrow(pair, "kind int, x long, y long")
+
+
+def _rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    kind, x, y = (np.concatenate(c) for c in zip(*((np.full(len(x), k, np.int32), x, y) for k, x, y in parts), strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], ["kind", "x", "y"])
 
 
 def candidates(buckets: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b: all pairs of a bucket of up to NEAR + 1; in a larger one each document with the least and those before it."""
-    return (
-        buckets.select("doc_id", F.explode(F.array_union("before", F.array("least"))).alias("other"))
-        .where(F.col("other") != F.col("doc_id"))
-        .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-        .distinct()
-    )
+    """Distinct (a, b), a < b: all pairs of a bucket of up to NEAR + 1; in a larger one each document with the first and those before it."""
+    ends = buckets.where("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("doc_id")).distinct()
+    order = Window.partitionBy("key").orderBy("doc_id")
+    known = ends.select("doc_id", F.collect_list("doc_id").over(order.rowsBetween(-NEAR, -1)).alias("before"), F.first("doc_id").over(order).alias("first"))
+    across = known.select("doc_id", F.explode(F.array_union("before", F.array("first"))).alias("other")).where("doc_id <> other")
+    return buckets.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(across.select(F.col("other").alias("a"), F.col("doc_id").alias("b"))).distinct()
 
 
 def grouped(ids: DataFrame, groups: DataFrame) -> DataFrame:
@@ -128,7 +194,7 @@ def grouped(ids: DataFrame, groups: DataFrame) -> DataFrame:
 
 def crowded(buckets: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc_id, root) of the documents of the buckets of over NEAR + 1 that hold more than one group."""
-    large = grouped(buckets.where(F.col("n") > NEAR + 1).select("key", "doc_id"), groups)
+    large = grouped(buckets.where("kind = 1").select(F.col("x").alias("key"), F.col("y").alias("doc_id")), groups)
     mixed = large.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     return large.join(mixed, "key", "left_semi").select("doc_id", "root").distinct()
 
@@ -187,7 +253,7 @@ def lists_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """shingle_lists of the documents whose doc_id is in ``ids``."""
     if ids.count() <= BROADCAST_IDS:
         return shingle_lists(docs, k, np.sort(np.concatenate([np.zeros(0, np.int64), *(b.column(0).to_numpy() for b in ids.toArrow().to_batches())])))
-    return shingle_lists(docs.join(ids, "doc_id", "left_semi"), k)
+    return shingle_lists(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi"), k)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -216,5 +282,12 @@ def near_duplicates(docs: DataFrame, k: int = K, threshold: float = THRESHOLD, s
 
 
 def without_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` whose document is in no group or the least of its group."""
-    return minus(docs, near_duplicates(docs, **parameters).select("doc_id"))
+    """The rows of ``docs`` whose document is in no group or the least of its group; of equal rows one."""
+    kept = minus(docs, near_duplicates(with_ids(docs), **parameters).select("doc_id"))
+    again = written(docs.groupBy(document_id().alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "repeated")
+    many = again.count()
+    if not many:
+        return kept
+    again = F.broadcast(again) if many <= BROADCAST_ROWS else again
+    mine = document_id() == again["_again"]
+    return kept.join(again, mine, "left_anti").unionByName(kept.join(again, mine, "left_semi").dropDuplicates())
