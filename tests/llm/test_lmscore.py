@@ -19,20 +19,29 @@ def corpus(n=300):
     return rows, good
 
 
-def brute(rows, labels, size):
-    good = {i for i in {i for i, *_ in labels if i is not None} if all(q == 1 for j, q, _ in labels if j == i and q is not None)}
+def gains(rows, labels):
+    """token -> gain for the in-domain dictionary; under 0 for the general one."""
+    said = collections.defaultdict(set)
+    for i, q, _ in labels:
+        said[i] |= {q} - {None}
+    good = {i for i in said if said[i] == {1} and i is not None}
     sums = {True: collections.Counter(), False: collections.Counter()}
     for i, t in rows:
         for w in (t or "").split():
-            if len(w.encode()) >= lmscore.LEAST:
-                sums[False][w] += 1
-                if i in good:
-                    sums[True][w] += 1
-    made = []
-    for inside in (True, False):
+            for k in range(0, len(w), lmscore.PIECE):
+                if len(w[k : k + lmscore.PIECE].encode()) >= lmscore.LEAST:
+                    sums[i in good][w[k : k + lmscore.PIECE]] += 1
+    total = {k: sum(c.values()) for k, c in sums.items()}
+    share = lambda k, w: sums[k][w] / total[k] if total[k] else 0.0
+    return {w: len(w.encode()) * (share(True, w) - share(False, w)) for w in sums[True] | sums[False]}
+
+
+def brute(rows, labels, size):
+    gain, made = gains(rows, labels), []
+    for sign in (1, -1):
         out, used = [], 0
-        for w, _ in sorted(sums[inside].items(), key=lambda x: (-x[1] * len(x[0].encode()), x[0])):
-            if used + len(w.encode()) + 1 > size:
+        for w, g in sorted(gain.items(), key=lambda x: (-sign * x[1], x[0])):
+            if sign * g <= 0 or used + len(w.encode()) + 1 > size:
                 break
             out.append(w.encode() + b" ")
             used += len(out[-1])
@@ -83,8 +92,21 @@ def test_a_long_unbroken_token_leaves_the_dictionaries_filled(spark):
     labels = [(i, 1, 0) for i in good if good[i]] + [(10_000, 1, 0)]
     counts = lmscore.token_counts(docs(spark, rows), spark.createDataFrame(labels, LABELS))
     inside, general = lmscore.dictionaries(counts)
-    known = {x["token"]: x for x in counts.collect()}
-    worth = lambda c: {w for i, t in rows[:300] for w in t.split() if known[w][c] * len(w) > lmscore.PIECE}
-    assert worth("inside") <= set(inside.decode().split()) and worth("n") <= set(general.decode().split()) and len(worth("n")) > 500
-    assert all(lmscore.DICTIONARY - 4 * lmscore.PIECE <= len(d) <= lmscore.DICTIONARY for d in (inside, general))
+    known, gain = {x["token"]: x for x in counts.collect()}, gains(rows, labels)
+    once = max(abs(gain[w]) for w in gain if len(w) == lmscore.PIECE and known[w]["n"] == 1)
+    worth = lambda sign: {w for w, g in gain.items() if sign * g > once}
+    assert worth(1) <= set(inside.decode().split()) and worth(-1) <= set(general.decode().split()) and len(worth(1)) > 200
+    # The general side has fewer tokens than fit, so it has all of them.
+    assert lmscore.DICTIONARY - 4 * lmscore.PIECE <= len(inside) <= lmscore.DICTIONARY
+    assert set(general.decode().split()) == {w for w, g in gain.items() if g < 0}
     assert sum(len(w) * x["n"] for w, x in known.items() if w.startswith("漢")) == 80_000
+
+
+def test_one_source_alone(spark):
+    rows, good = corpus(60)
+    for labels in ([], [(i, 1, 0) for i, _ in rows]):
+        counts = lmscore.token_counts(docs(spark, rows), spark.createDataFrame(labels, LABELS))
+        inside, general = lmscore.dictionaries(counts)
+        full, empty = (inside, general) if labels else (general, inside)
+        assert empty == b"" and set(full.decode().split()) == {w for _, t in rows for w in t.split() if len(w) >= 4}
+        assert {tuple(r) for r in lmscore.scored(docs(spark, rows), spark.createDataFrame(labels, LABELS)).collect()} == brute(rows, labels, lmscore.DICTIONARY)
