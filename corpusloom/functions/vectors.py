@@ -30,7 +30,8 @@ def normalized(a: Column) -> Column:
 
 
 def dummy_embedding(text: Column, size: int = 384) -> Column:
-    """A unit vector that depends on the text alone, for runs without a model: hashes of (text, place) in [-1, 1]."""
+    """A unit vector that depends on the text alone, for runs without a model: digests of (the text's digest, place) in [-1, 1]."""
     # The text is hashed once, as the one element of an array, and not for each place.
-    raw = F.transform(F.array(F.xxhash64(text)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.xxhash64(h, i) / F.lit(float(2**63))))
+    number = lambda h, i: F.conv(F.substring(F.md5(F.concat(h, F.lit(":"), i.cast("string"))), 1, 8), 16, 10).cast("double") / 2147483648.0 - 1
+    raw = F.transform(F.array(F.md5(text)), lambda h: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: number(h, i)))
     return F.get(F.transform(raw, lambda v: normalized(v)), F.lit(0)).cast("array<float>")

@@ -5,7 +5,7 @@ Every operation is a new table of rows; ``write`` replaces the stored one.  Time
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COLUMNS = ["query_hash", "query", "response", "checksum_hash", "created_at", "expires_at"]
@@ -23,8 +23,8 @@ def entries(answers: DataFrame, now: Column, hours: int = 24) -> DataFrame:
 def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:
     """The latest entry of each question; of equal times the one with the greatest response."""
     both = cache.select(*COLUMNS).unionByName(new.select(*COLUMNS))
-    latest = Window.partitionBy("query_hash").orderBy(F.desc("created_at"), F.desc("response"))
-    return both.withColumn("_r", F.row_number().over(latest)).where("_r = 1").drop("_r")
+    latest = both.groupBy("query_hash").agg(F.max(F.struct("created_at", "response", "query", "checksum_hash", "expires_at")).alias("e"))
+    return latest.select("query_hash", *(F.col(f"e.{c}").alias(c) for c in COLUMNS[1:]))
 
 
 def hits(questions: DataFrame, cache: DataFrame, checksum: Column, now: Column) -> DataFrame:

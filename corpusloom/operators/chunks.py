@@ -75,7 +75,7 @@ def chunk_table(files: DataFrame, functions: DataFrame, classes: DataFrame, impo
     common = lambda kind, text, importance, complexity, tag: ["path", "id", F.when(F.col("_entry"), "entrypoint").otherwise(kind).alias("chunk_type") if kind in ("function", "method") else F.lit(kind).alias("chunk_type"), truncated(text, most).alias("content"), F.col("lang").alias("language"), F.col("line_start").cast("int"), F.col("line_end").cast("int"), "name", complexity.cast("int").alias("complexity"), tag.alias("tags"), importance.cast("float").alias("importance_score")]
     score = F.when(F.col("_entry"), 1.0).otherwise(F.col("importance_score"))
     plain = fn.where("kind = 'function'").select(*common("function", function_text(), score, F.col("complexity"), tags("function")))
-    bases = classes.select("path", F.col("name").alias("class_name"), "bases").dropDuplicates(["path", "class_name"])
+    bases = classes.groupBy("path", F.col("name").alias("class_name")).agg(F.min_by("bases", F.struct("line_start", "id")).alias("bases"))
     methods = fn.where("kind = 'method'").join(bases, ["path", "class_name"], "left").select(*common("method", function_text(F.coalesce("bases", F.array().cast("array<string>"))), score, F.col("complexity"), tags("method")))
     members = functions.where("kind = 'method'").groupBy("path", F.col("class_name").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "name", "is_async"))), lambda m: F.struct(m["name"].alias("name"), m["is_async"].alias("is_async"))).alias("methods"))
     none = F.array().cast("array<struct<name:string,is_async:boolean>>")

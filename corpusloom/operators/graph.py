@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,31 +49,33 @@ def transitive_dependencies(edges: DataFrame, roots: DataFrame, depth: int = 2)
     return reachable(edges, roots, depth + 1)
 
 
-def shortest_depths(edges: DataFrame, roots: DataFrame, most: int = 1000, checkpoint_every: int = 5) -> DataFrame:
+def shortest_depths(edges: DataFrame, roots: DataFrame, most: int | None = None, checkpoint_every: int = 5) -> DataFrame:
     """(id, depth): the least number of edges from any root to each node that one reaches.
 
     Breadth first over the whole graph with a table of seen nodes that is checkpointed as it grows, so neither the plan
-    nor the lineage does; for deep graphs.
+    nor the lineage does; for deep graphs.  It goes on until nothing new is reached; a graph deeper than ``most``, if that is
+    given, is an error.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
     seen = frontier = roots.select("id", F.lit(0).alias("depth")).distinct()
-    for d in range(1, most + 1):
+    for d in itertools.count(1):
         frontier = frontier.join(step, "id").select(F.col("to").alias("id"), F.lit(d).alias("depth")).distinct().join(seen, "id", "left_anti").checkpoint()
         if frontier.isEmpty():
-            break
+            return seen
+        if most is not None and d > most:
+            raise ValueError(f"the graph is deeper than {most}")
         seen = seen.unionByName(frontier)
         if d % checkpoint_every == 0:
             seen = seen.checkpoint()
-    return seen
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Checkpoints go to the shared folder that the cluster names; a temporary one only where it names none."""
-    import tempfile
+    """Checkpoints go to the shared folder that the cluster names; a temporary one only on one machine."""
+    from ..shipping import shared_folder
 
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def resolved(calls: DataFrame, definitions: DataFrame, name: str = "callee") -> DataFrame:

@@ -99,22 +99,30 @@ def with_neighbours(scored: DataFrame, edges: DataFrame, take: int = 20) -> Data
 
 
 def hot_files(scored: DataFrame) -> DataFrame:
-    """Candidates (query_id, id, file, score): with 20 or more of them, those of files with 3 or more get 0.2."""
-    here, all_ = Window.partitionBy("query_id", "file"), Window.partitionBy("query_id")
-    hot = (F.count("*").over(here) >= HOT_FILE) & (F.count("*").over(all_) >= HOT_CANDIDATES)
-    return scored.withColumn("score", F.col("score") + F.when(hot, HOT_BONUS).otherwise(0.0))
+    """Candidates (query_id, id, file, score): with 20 or more of them, those of files with 3 or more get 0.2.
+
+    The candidates are counted by grouped counts, so no task holds a question's rows, and the hot files, of which a question
+    has a third of its candidates at most, are joined back.
+    """
+    here = scored.groupBy("query_id", "file").agg(F.count("*").alias("_n"))
+    all_ = here.groupBy("query_id").agg(F.sum("_n").alias("_all")).where(F.col("_all") >= HOT_CANDIDATES).select("query_id")
+    hot = here.where(F.col("_n") >= HOT_FILE).join(all_, "query_id", "left_semi").select("query_id", F.col("file").alias("_file"), F.lit(HOT_BONUS).alias("_bonus"))
+    return scored.join(hot.withColumnRenamed("query_id", "_q"), (F.col("query_id") == F.col("_q")) & F.col("file").eqNullSafe(F.col("_file")), "left").withColumn("score", F.col("score") + F.coalesce("_bonus", F.lit(0.0))).drop("_q", "_file", "_bonus")
 
 
 def kb_lookup(wanted: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
-    """(query_id, id, score) of wanted (query_id, name): 120 for an indexed location, 115 a function, 118 a class, 113 a method, 95 its class; 93.5 what a function calls."""
+    """(query_id, file, id, score) of wanted (query_id, name): 120 for a function, 113 a method, 118 a class, 95 a method's class; 93.5 what a function calls, in the file that the call resolves to.
+
+    Names are compared without regard to case; ids are kept apart by their file.
+    """
     w = wanted.select("query_id", F.lower("name").alias("_w")).distinct()
-    fn = functions.withColumn("_w", F.lower("name"))
+    fn = functions.select(F.col("path").alias("file"), "id", "kind", "class_name", "calls", F.lower("name").alias("_w"))
     hit = w.join(fn, "_w")
-    own = hit.select("query_id", "id", F.when(F.col("kind") == "method", 113.0).otherwise(F.lit(120.0)).alias("score"))
-    of_class = w.join(classes.withColumn("_w", F.lower("name")), "_w").select("query_id", "id", F.lit(118.0).alias("score"))
-    parents = hit.where("class_name IS NOT NULL").select("query_id", F.concat(F.lit("class_"), "class_name").alias("id"), F.lit(95.0).alias("score"))
-    called = hit.select("query_id", F.explode("calls").alias("c")).select("query_id", F.col("c.callee").alias("name")).join(functions.select("name", "id"), "name").select("query_id", "id", F.lit(93.5).alias("score"))
-    return own.unionByName(of_class).unionByName(parents).unionByName(called).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    own = hit.select("query_id", "file", "id", F.when(F.col("kind") == "method", 113.0).otherwise(F.lit(120.0)).alias("score"))
+    of_class = w.join(classes.select(F.col("path").alias("file"), "id", F.lower("name").alias("_w")), "_w").select("query_id", "file", "id", F.lit(118.0).alias("score"))
+    parents = hit.where("class_name IS NOT NULL").join(classes.select(F.col("path").alias("file"), F.col("name").alias("class_name"), F.col("id").alias("_class")), ["file", "class_name"]).select("query_id", "file", F.col("_class").alias("id"), F.lit(95.0).alias("score"))
+    called = hit.select("query_id", F.explode("calls").alias("c")).where("c.defined_in IS NOT NULL").select("query_id", F.col("c.defined_in").alias("file"), F.lower("c.callee").alias("_w")).join(fn.select("file", "_w", "id"), ["file", "_w"]).select("query_id", "file", "id", F.lit(93.5).alias("score"))
+    return own.unionByName(of_class).unionByName(parents).unionByName(called).groupBy("query_id", "file", "id").agg(F.max("score").alias("score"))
 
 
 def at_location(chunks: DataFrame, places: DataFrame) -> DataFrame:
@@ -122,19 +130,23 @@ def at_location(chunks: DataFrame, places: DataFrame) -> DataFrame:
 
     An equality join on file and block of lines, so a long file isn't compared with all its places.
     """
-    part = F.regexp_extract("location", r"^(.*):(\d+)(?:-(\d+))?$", 1)
-    a = F.regexp_extract("location", r":(\d+)(?:-\d+)?$", 1)
-    b = F.regexp_extract("location", r":\d+-(\d+)$", 1)
-    p = places.where(F.col("location").rlike(r":\d+(-\d+)?$")).select("location", part.alias("file"), a.cast("int").alias("_a"), F.coalesce(F.nullif(b, F.lit("")), a).cast("int").alias("_b"))
+    # One cut at the last colon, and one at the dash.
+    cut = places.select("location", F.substring_index("location", ":", -1).alias("_lines")).where(F.col("_lines").rlike(r"^\d+(-\d+)?$"))
+    p = cut.select("location", F.left("location", F.length("location") - F.length("_lines") - 1).alias("file"), F.substring_index("_lines", "-", 1).cast("int").alias("_a"), F.substring_index("_lines", "-", -1).cast("int").alias("_b")).where("file <> ''")
     blocks = lambda low, high: F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("_block")
     pieces = chunks.select("file", "id", "start_line", "end_line").where("start_line <= end_line").select("*", blocks(F.col("start_line"), F.col("end_line")))
     return p.where("_a <= _b").select("*", blocks(F.col("_a"), F.col("_b"))).join(pieces, ["file", "_block"]).where("start_line <= _b AND end_line >= _a").groupBy("location").agg(F.min_by("id", F.struct("start_line", "id")).alias("id"))
 
 
-def packed(scored: DataFrame, tokens: Column, limit: Column, by: list[str], order: list[Column]) -> DataFrame:
-    """The rows before the first at which the sum of tokens and OVERHEAD passes ``limit``; ``used`` is the sum so far."""
-    upto = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return scored.withColumn("used", F.sum(tokens + OVERHEAD).over(upto)).where(F.col("used") <= limit)
+def packed(scored: DataFrame, tokens: Column, limit: int, by: list[str], order: list[Column]) -> DataFrame:
+    """The rows before the first at which the sum of tokens and OVERHEAD passes ``limit``; ``used`` is the sum so far.
+
+    A row costs OVERHEAD at least, so only a group's first limit / OVERHEAD rows can be among them; each task keeps as many
+    of its own before the shuffle, and a group that a third of the rows are in sends no more.
+    """
+    order_by = Window.partitionBy(*by).orderBy(*order)
+    first = scored.withColumn("_r", F.row_number().over(order_by)).where(F.col("_r") <= limit // OVERHEAD).drop("_r")
+    return first.withColumn("used", F.sum(tokens + OVERHEAD).over(order_by.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("used") <= limit)
 
 
 SELECTED = "query_id long, id string, file string, start_line int, end_line int, content string, tokens long, ids array<string>, used long"

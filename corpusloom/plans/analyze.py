@@ -58,7 +58,7 @@ def edges_of(functions: DataFrame, classes: DataFrame, calls: DataFrame) -> Data
     An edge to a name that is defined nowhere keeps a null dst.
     """
     where = graph.resolved(calls, functions.select("name", F.col("path").alias("file")))
-    ids = functions.select(F.col("name").alias("callee"), F.col("path").alias("defined_in"), F.col("id").alias("dst")).dropDuplicates(["callee", "defined_in"])
+    ids = functions.groupBy(F.col("name").alias("callee"), F.col("path").alias("defined_in")).agg(F.min("id").alias("dst"))
     called = where.join(ids, ["callee", "defined_in"], "left").select(F.col("caller_id").alias("src"), "dst", F.col("callee").alias("dst_name"), F.lit("calls").alias("edge_type"), F.col("is_conditional").alias("conditional"), "line")
     known = classes.groupBy(F.col("name").alias("dst_name")).agg(F.min("id").alias("dst"))
     bases = classes.select(F.col("id").alias("src"), F.explode("bases").alias("dst_name"), "line_start").join(known, "dst_name", "left").select("src", "dst", "dst_name", F.lit("inherits").alias("edge_type"), F.lit(False).alias("conditional"), F.col("line_start").alias("line"))

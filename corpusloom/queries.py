@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import classify as C
 from .functions import text as T
 from .functions import vectors as V
-from .operators import cache, checksum, chunks, diagnostics, graph, indices, patterns, retrieve, search
+from .operators import cache, checksum, chunks, diagnostics, fuzzy, graph, indices, patterns, retrieve, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,6 +84,14 @@ def name_index(t: Tables) -> DataFrame:
     return indices.inverted(t.events, F.col("event_type"), F.col("event_id"))
 
 
+@query("SELECT event_type AS key, count(*) AS n, sum(CAST(event_id AS HUGEINT))::BIGINT AS total, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY 1")
+def postings_index(t: Tables) -> DataFrame:
+    """The five event types' lists of events in blocks, and what the blocks of each hold together."""
+    found = indices.postings(t.events, F.col("event_type"), F.col("event_id"))
+    size = found.select("key", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.array_min("values").alias("first"), F.array_max("values").alias("last"))
+    return size.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 @query('SELECT l_partkey AS key, list_sort(list(DISTINCT l_orderkey)) AS "values" FROM lineitem GROUP BY 1', "values")
 def reverse_index(t: Tables) -> DataFrame:
     return indices.inverted(t.lineitem, F.col("l_partkey"), F.col("l_orderkey"))
@@ -209,11 +217,8 @@ SELECT query_id, name, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS
 @query(_FUZZY)
 def fuzzy_topk(t: Tables) -> DataFrame:
     """The five names of parts most like each supplier's name: fuzzy search of many names at once."""
-    q = t.supplier.select(F.col("s_suppkey").alias("query_id"), F.lower("s_name").alias("p"))
-    names = t.part.select(F.lower("p_name").alias("name")).distinct()
-    scored = names.crossJoin(q).select("query_id", "name", T.fuzzy_score(F.col("p"), F.col("name")).cast("int").alias("score")).where("score > 0")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
-    return scored.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    q = t.supplier.select(F.col("s_suppkey").alias("query_id"), F.lower("s_name").alias("name"))
+    return fuzzy.most_like(t.part.select(F.lower("p_name").alias("name")), q, 5)
 
 
 # --- questions -------------------------------------------------------------------------------------------------------
@@ -299,6 +304,23 @@ def vector_topk_each(t: Tables) -> DataFrame:
     return search.top_k_each(t.embeddings, queries, 5, "vec_id").select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
+_EACH = "SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, round(score, 5) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e CROSS JOIN embeddings q{where}){having}) WHERE rank <= {k}"
+
+
+@query(_EACH.format(where=" WHERE e.label IN (1, 2, 3)", having="", k=10))
+def vector_filtered_each(t: Tables) -> DataFrame:
+    """The ten nearest vectors of three labels to every vector."""
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.top_k_each(t.embeddings, queries, 10, "vec_id", where=F.col("label").isin(1, 2, 3)).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
+@query(_EACH.format(where="", having=" WHERE score >= 0.5", k=50))
+def vector_threshold_each(t: Tables) -> DataFrame:
+    """Up to fifty vectors of a similarity of 0.5 or more to every vector."""
+    queries = t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.top_k_each(t.embeddings, queries, 50, "vec_id", threshold=0.5).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+
+
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm, round(embedding[1] / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS first FROM embeddings")
 def vector_norm(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.round(F.get(V.normalized(F.col("embedding")), F.lit(0)), 5).alias("first"))
@@ -314,11 +336,12 @@ def index_size(t: Tables) -> DataFrame:
     return search.size_mb(t.embeddings, "vec_id").select(F.round("size_mb", 6).alias("size_mb"))
 
 
-@query("SELECT 0 AS only_a, 0 AS only_b, 0 AS other_size, CAST(0 AS DOUBLE) AS max_difference")
+@query("WITH a AS (SELECT vec_id, embedding AS x FROM embeddings WHERE label <> 1), b AS (SELECT vec_id, CASE WHEN label = 3 THEN embedding[1:63] ELSE list_transform(embedding, lambda v: CAST(v * 0.5 AS FLOAT)) END AS y FROM embeddings WHERE label <> 2) SELECT CAST(count(*) FILTER (y IS NULL) AS INTEGER) AS only_a, CAST(count(*) FILTER (x IS NULL) AS INTEGER) AS only_b, CAST(count(*) FILTER (len(x) <> len(y)) AS INTEGER) AS other_size, round(max(CASE WHEN len(x) = len(y) THEN list_max(list_transform(range(1, len(x) + 1), lambda i: abs(CAST(x[i] AS DOUBLE) - CAST(y[i] AS DOUBLE)))) END), 6) AS max_difference FROM a FULL JOIN b USING (vec_id)")
 def index_compare(t: Tables) -> DataFrame:
-    """An index with itself: no difference."""
-    one = search.compared(t.embeddings, t.embeddings, "vec_id")
-    return one.select(*(F.col(c).cast("int") for c in ("only_a", "only_b", "other_size")), "max_difference")
+    """An index without label 1, and one without label 2, with shorter vectors for label 3 and half the numbers for others."""
+    other = F.when(F.col("label") == 3, F.slice("embedding", 1, 63)).otherwise(F.transform("embedding", lambda v: (v.cast("double") * 0.5).cast("float")))
+    one = search.compared(t.embeddings.where("label <> 1"), t.embeddings.where("label <> 2").withColumn("embedding", other), "vec_id")
+    return one.select(*(F.col(c).cast("int") for c in ("only_a", "only_b", "other_size")), F.round("max_difference", 6).alias("max_difference"))
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
@@ -369,7 +392,7 @@ def hybrid_merge(t: Tables) -> DataFrame:
 @query("SELECT doc_id, source, CAST(used AS BIGINT) AS used FROM (SELECT doc_id, source, sum(strlen(text) // 4 + 20) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 4764")
 def budget_pack(t: Tables) -> DataFrame:
     """The shortest documents of each source that fit a budget."""
-    return retrieve.packed(t.documents.withColumn("tokens", T.estimated_tokens(F.col("text"))), F.col("tokens"), F.lit(4764), ["source"], [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "source", F.col("used").cast("long").alias("used"))
+    return retrieve.packed(t.documents.withColumn("tokens", T.estimated_tokens(F.col("text"))), F.col("tokens"), 4764, ["source"], [F.col("n_chars"), F.col("doc_id")]).select("doc_id", "source", F.col("used").cast("long").alias("used"))
 
 
 @query("""WITH s AS (SELECT l_suppkey AS f, CAST(l_orderkey AS BIGINT) AS a, CAST(l_orderkey + l_linenumber AS BIGINT) AS b FROM lineitem), w AS (SELECT *, CASE WHEN a - max(b) OVER (PARTITION BY f ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 5 THEN 0 ELSE 1 END AS new FROM s),
@@ -512,7 +535,10 @@ def chunk_render(t: Tables) -> DataFrame:
     return rows.select("s_suppkey", chunks.class_text().alias("content"))
 
 
-@query()
+_DUMMY = "SELECT doc_id, list_transform(range(0, 64), lambda i: CAST('0x' || substr(md5(h || ':' || i), 1, 8) AS BIGINT) / 2147483648.0 - 1) AS v FROM (SELECT doc_id, md5(text) AS h FROM documents)"
+
+
+@query(f"SELECT doc_id, list_transform(v, lambda x: CAST(round(CAST(CAST(x / sqrt(list_sum(list_transform(v, lambda y: y * y))) AS FLOAT) AS DOUBLE) * 10000) AS BIGINT)) AS embedding FROM ({_DUMMY})", "embedding")
 def embed_dummy(t: Tables) -> DataFrame:
-    """A vector for each document that depends on its text alone."""
-    return t.documents.select("doc_id", V.dummy_embedding(F.col("text"), 64).alias("embedding"))
+    """A vector for each document that depends on its text alone, in ten thousandths."""
+    return t.documents.select("doc_id", F.transform(V.dummy_embedding(F.col("text"), 64), lambda x: F.round(x.cast("double") * 10000).cast("long")).alias("embedding"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,7 +37,7 @@ def language(path: Column, content: Column) -> Column:
         by_name = by_name.when(name == file, lang)
     first = F.lower(F.regexp_extract(content, r"^(#![^\n]*)", 1))
     by_first = F.when(F.contains(first, F.lit("python")), "Python").when(first.rlike("node|js"), "JavaScript")
-    head = F.slice(F.split(F.left(content, F.lit(100_000)), "\n"), 1, 50)
+    head = F.split(F.substring_index(content, "\n", 50), "\n")
     some = lambda sign: F.exists(head, lambda line: line.rlike(sign))
     by_content = F
     for lang, sign in CONTENT:
@@ -47,7 +48,8 @@ def language(path: Column, content: Column) -> Column:
 def ignored(path: Column, patterns: list[str]) -> Column:
     """Whether the last pattern that matches a path ignores it: ``!`` takes back, ``/`` first ties it to the root, ``/`` last means a folder.
 
-    A pattern that isn't tied matches any component, or the path's end.
+    A pattern that isn't tied matches any component, or the path's end; ``*`` and ``?`` in it stand for any characters and for
+    one, but no ``/``.
     """
     parts = F.split(path, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
@@ -58,7 +60,10 @@ def ignored(path: Column, patterns: list[str]) -> Column:
             continue
         take_back, p = p.startswith("!"), p.lstrip("!")
         tied, folder, p = p.startswith("/"), p.endswith("/"), p.strip("/")
-        if tied:
+        if "*" in p or "?" in p:
+            body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in p)
+            hit = path.rlike(("^" if tied else "(^|/)") + body + ("/" if folder else "(/|$)"))
+        elif tied:
             hit = F.startswith(path, F.lit(p + "/")) if folder else (path == p) | F.startswith(path, F.lit(p + "/"))
         elif "/" in p:
             hit = F.contains(F.concat(F.lit("/"), path), F.lit(f"/{p}/")) if folder else F.endswith(F.concat(F.lit("/"), path), F.lit("/" + p)) | F.contains(F.concat(F.lit("/"), path), F.lit(f"/{p}/"))
@@ -69,10 +74,12 @@ def ignored(path: Column, patterns: list[str]) -> Column:
 
 
 def read_tree(spark: SparkSession, root: str, languages: list[str] | None = None, ignore: list[str] | None = None, ignore_file: str | None = None) -> DataFrame:
-    """(path, content, lang, loc) of the sources under ``root``, by path from there.
+    """(path, content, lang, loc, error) of the sources under ``root``, by path from there.
 
-    Empty files (Spark's file source gives no rows for them), hidden files and the folders of IGNORED are left out, and what ``ignore`` and the tree's ignore file say.  The file
-    source prunes nothing but names, so the conditions on the path come before the content is looked at.
+    Empty files (Spark's file source gives no rows for them), hidden files and the folders of IGNORED are left out, and what
+    ``ignore`` and the tree's ignore file say.  A file with a known name or extension that isn't UTF-8 is a row with an
+    ``error`` and null content.  The file source prunes nothing but names, so the conditions on the path come before the
+    content is looked at.
     """
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -86,23 +93,25 @@ def read_tree(spark: SparkSession, root: str, languages: list[str] | None = None
     hidden = F.exists(parts, lambda x: F.startswith(x, F.lit(".")) | x.isin(IGNORED) | F.endswith(x, F.lit(".egg-info")))
     ends = [e for lang, e in LANGUAGES.items() if languages is None or lang in languages]
     kept = known.where(~hidden & ~ignored(F.col("path"), rules))
-    text = kept.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where("content IS NOT NULL")
-    found = text.withColumn("lang", language(F.col("path"), F.col("content"))).where("lang IS NOT NULL")
+    text = kept.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+    found = text.withColumn("lang", language(F.col("path"), F.coalesce("content", F.lit("")))).where("lang IS NOT NULL").withColumn("error", F.when(F.col("content").isNull(), "not UTF-8"))
     if languages is not None and ends:
         found = found.where(F.col("lang").isin(languages))
-    return found.withColumn("loc", count_lines(F.col("content")).cast("long"))
+    return found.select("path", "content", "lang", F.coalesce(count_lines(F.col("content")).cast("long"), F.lit(0)).alias("loc"), "error")
 
 
 def parse_text(lang: str, content: str) -> dict:
-    """The record of one file; a language without a parser has only marks and an error that says so."""
+    """The record of one file; a language without a parser has only marks and an error that says so, and null content (no UTF-8) an error alone."""
     from . import parse_braces, parse_common, parse_python
 
+    none = {"imports": [], "functions": [], "classes": [], "global_vars": []}
+    if content is None:
+        return none | {"error": "not UTF-8", "todos": [], "security_notes": []}
     parser = {"Python": parse_python.parse, "Go": parse_braces.parse_go, "C": parse_braces.parse_c}.get(lang)
     try:
         out = parser(content) if parser else {"error": f"no parser for {lang}"}
     except Exception as e:  # a file must not end the run; the error is in its row
         out = {"error": f"{type(e).__name__}: {e}"}
-    none = {"imports": [], "functions": [], "classes": [], "global_vars": []}
     return none | out | {"todos": parse_common.todos(content), "security_notes": parse_common.security_notes(content, lang)}
 
 
@@ -119,3 +128,19 @@ def parsed(files: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist([{"path": r["path"], "lang": r["lang"], "loc": r["loc"]} | parse_text(r["lang"], r["content"]) for r in rows], schema)
 
     return files.select("path", "content", "lang", "loc").mapInArrow(parse, PARSED)
+
+
+def write_tree(files: DataFrame, root: str) -> None:
+    """Writes files (path, content) under ``root``, each task its own; a task that is run again writes the same files."""
+    import pyarrow.fs
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, inner = pyarrow.fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                fs.create_dir(f"{inner}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{inner}/{path}", compression=None) as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "n long").agg(F.sum("n")).collect()

@@ -28,6 +28,18 @@ def closing(code: str, at: int) -> int:
     return len(code)
 
 
+def _closing_whiles(code: str, start: int, end: int) -> dict[int, int]:
+    """The place of each do, and that of the while that closes it."""
+    out = {}
+    for m in reversed(list(re.compile(r"\bdo\b").finditer(code, start, end))):
+        body = re.compile(r"\s*").match(code, m.end()).end()
+        at = closing(code, body) + 1 if code[body : body + 1] == "{" else m.end()
+        found = next((x.start() for x in re.compile(r"\bwhile\b").finditer(code, at, end) if x.start() not in out.values()), None)
+        if found is not None:
+            out[m.start()] = found
+    return out
+
+
 def _split(text: str) -> list[str]:
     out, depth, last = [], 0, 0
     for i, c in enumerate(text):
@@ -44,7 +56,16 @@ class _Body:
     def __init__(self, source: str, code: str, start: int, end: int, lang: str):
         self.source, self.code, self.start, self.end, self.lang = source, code, start, end, lang
         self.blocks = []  # (from, to, context, keyword's place, condition)
+        closes = _closing_whiles(code, start, end) if lang == "C" else {}
         for m in re.compile(r"\b(if|else|for|while|do|switch|select)\b").finditer(code, start, end):
+            if m.start() in closes.values():
+                continue
+            if m.start() in closes:
+                # The condition stands after the body, behind the while that closes it.
+                paren = code.find("(", closes[m.start()], end)
+                after = closing(code, paren)
+                self.blocks.append((m.start(), after, "loop", "do-while", source[paren + 1 : after].strip(), code.find("{", m.end(), end)))
+                continue
             brace = code.find("{", m.end(), end)
             stop = code.find(";", m.end(), end) if lang == "C" else -1
             if lang == "C" and m[1] in ("if", "for", "while", "switch"):
@@ -122,7 +143,7 @@ def _record(source: str, code: str, lang: str, name: str, of: str | None, start:
     body = _Body(source, code, brace, end, lang)
     inner = code[brace:end]
     pattern = r"\b(if|for|switch)\b|&&|\|\||[^=!<>]==|!=|<=|>=|[^-+*/&|<]\s[-+*/<>]\s" if lang == "Go" else r"\b(if|for|while|do|switch|case)\b|\?|&&|\|\|"
-    complexity = 1 + len(re.findall(pattern, inner))
+    complexity = 1 + len(re.findall(pattern, inner)) - (len(_closing_whiles(code, brace, end)) if lang == "C" else 0)
     first, last = body.line(start), body.line(end)
     doc, calls = _comment_before(source, first), body.calls()
     variables = [{"name": p["name"], "var_type": p["type_annotation"], "scope": "param", "defined_at": first, "transformations": [], "used_in": [], "returned": bool(re.search(rf"\breturn\s+{re.escape(p['name'])}\b", inner))} for p in params if re.fullmatch(r"\w+", p["name"])]
