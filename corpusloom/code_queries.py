@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import code_samples as S
-from .operators import cache, checksum, embed, facts, graph, retrieve
-from .operators import chunks as chunk_ops
+from .operators import cache, checksum, context, diagnostics, embed, facts, graph, retrieve
 from .plans import analyze, router
 from .queries import Tables, query
 from .shipping import shared_folder
@@ -74,14 +73,17 @@ def _parsed(t: Tables) -> DataFrame:
     return source_files.parsed(S.files(t.supplier))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{shared_folder(df.sparkSession)}/code-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _known(t: Tables) -> analyze.Knowledge:
+    """All tables; files are parsed and calls resolved once, and what is built from them reads what was written."""
     files = S.files(t.supplier)
-    parsed = source_files.parsed(files)
-    # Parsed once; what is built from it reads the written table.
-    path = f"{shared_folder(t.spark)}/code-{uuid.uuid4().hex}"
-    parsed.write.parquet(path)
-    parsed = t.spark.read.parquet(path)
-    return analyze.tables(files, parsed, facts.functions(parsed))
+    parsed = _written(source_files.parsed(files))
+    return analyze.tables(files, parsed, _written(facts.functions(parsed)))
 
 
 def _joined(c: str, mark: str = ","):
@@ -301,3 +303,184 @@ def kb_dependency_graph(t: Tables) -> DataFrame:
     """Calls to every definition of a name, and what classes contain."""
     k = _known(t)
     return graph.dependency_graph(k.functions, k.classes, k.calls)[1]
+
+
+# --- chunks and the context index ------------------------------------------------------------------------------------
+
+_CHUNKS = {
+    "Python": [
+        ("method_Store{k}_save", "method", 14, 16, "save", 1, "database,method", 0.5), ("func_create_{k}", "entrypoint", 20, 31, "create_{k}", 5, "api,async,function", 1.0), ("func_clean_{m}", "function", 34, 36, "clean_{m}", 1, "function", 0.5),
+        ("func_main", "entrypoint", 39, 40, "main", 1, "entry-point,function", 1.0), ("class_Store{k}", "class", 9, 16, "Store{k}", 0, "class", 0.7), ("file:src/pkg{n}/mod_{k}.py", "file", 1, 40, "src/pkg{n}/mod_{k}.py", 0, "file", 0.5),
+    ],
+    "Go": [("method_Box{k}_Save", "method", 19, 27, "Save", 5, "concurrency,database,exported,method", 0.7), ("func_main", "entrypoint", 29, 32, "main", 1, "entry-point,function", 1.0), ("struct_Box{k}", "class", 13, 16, "Box{k}", 0, "class", 0.7), ("file:src/pkg{n}/mod_{k}.go", "file", 1, 32, "src/pkg{n}/mod_{k}.go", 0, "file", 0.5)],
+    "C": [("func_add_{k}", "function", 12, 22, "add_{k}", 4, "function", 0.5), ("struct_pair_{k}", "class", 6, 9, "pair_{k}", 0, "class", 0.7), ("file:src/pkg{n}/mod_{k}.c", "file", 1, 22, "src/pkg{n}/mod_{k}.c", 0, "file", 0.5)],
+}
+_CHUNK = f"c AS MATERIALIZED ({_rows(_CHUNKS, ['id', 'chunk_type', 'line_start', 'line_end', 'name', 'complexity', 'tags', 'importance'])})"
+
+
+@query(f"WITH {_CHUNK} SELECT path AS file_path, id, chunk_type, line_start, line_end, name, complexity, tags, importance FROM c")
+def code_chunks(t: Tables) -> DataFrame:
+    return _known(t).chunks.select("file_path", "id", "chunk_type", "line_start", "line_end", "name", "complexity", _joined("tags"), F.round(F.col("importance_score").cast("double"), 2).alias("importance"))
+
+
+_CONTENT = {
+    "Python": [
+        ("func_main", "// File: src/pkg{n}/mod_{k}.py\n// Function: main\n// Lines: 39-40\n// Complexity: 1\n\ndef main()\n\nCalls:\n  - create_{k} (line 40)\n\nControl flow: 0 branches, 0 loops\n"),
+        ("class_Store{k}", "// File: src/pkg{n}/mod_{k}.py\n// Class: Store{k}\n// Description: Keeps {k}.\n// Lines: 9-16\n\nInherits from: Base{n}\n\nAttributes:\n  - size: int\n\nMethods (1):\n  - save\n\n"),
+        ("method_Store{k}_save", "// File: src/pkg{n}/mod_{k}.py\n// Class: Store{k}\n// Method: save\n\n// Inherits from: Base{n}\n\n// File: src/pkg{n}/mod_{k}.py\n// Function: save\n// Lines: 14-16\n// Complexity: 1\n\ndef save(item)\n\nParameters:\n  - item:  \n\nCalls:\n  - store_{k} (line 16)\n\nControl flow: 0 branches, 0 loops\n"),
+        ("func_create_{k}", "// File: src/pkg{n}/mod_{k}.py\n// Function: create_{k}\n// Description: Creates item {k} for all. Then more.\n// Lines: 20-31\n// Complexity: 5\n\nasync def create_{k}(name: str, size: int = {n}) -> dict\n\nParameters:\n  - name: str \n  - size: int = {n}\n\nReturns: dict\n\nCalls:\n  - clean_{m} (line 23)\n  - ValueError (line 25)\n  - range (line 26)\n  - notify_{k} (line 28)\n  - log_error (line 30)\n\nCalled by:\n  - main in src/pkg{n}/mod_{k}.py\n\nControl flow: 2 branches, 1 loops\nExceptions:\n  Raises: ValueError\n  Handles: KeyError\n\n"),
+        ("file:src/pkg{n}/mod_{k}.py", "File: src/pkg{n}/mod_{k}.py\nLanguage: Python\nLines of code: 40\n\nImports:\n  - os (stdlib)\n  - pkg{n} (external)\n  - requests (external)\n\nFunctions: 3\n  - create_{k}\n  - clean_{m}\n  - main\n\nClasses: 1\n  - Store{k}\n\n"),
+    ],
+    "C": [
+        ("struct_pair_{k}", "// File: src/pkg{n}/mod_{k}.c\n// Class: pair_{k}\n// Lines: 6-9\n\nAttributes:\n  - a: int\n  - b: char\n\n"),
+        ("file:src/pkg{n}/mod_{k}.c", "File: src/pkg{n}/mod_{k}.c\nLanguage: C\nLines of code: 22\n\nImports:\n  - own_{n}.h (internal)\n  - stdio.h (stdlib)\n\nFunctions: 1\n  - add_{k}\n\nClasses: 1\n  - pair_{k}\n\n"),
+    ],
+}
+
+
+@query(_rows(_CONTENT, ["id", "content"]))
+def chunk_contents(t: Tables) -> DataFrame:
+    """The texts of functions, methods, classes and files."""
+    wanted = F.col("file_path").endswith(".py") & ~F.startswith("id", F.lit("func_clean")) | F.col("file_path").endswith(".c") & (F.startswith("id", F.lit("struct")) | F.startswith("id", F.lit("file")))
+    return _known(t).chunks.where(wanted).select(F.col("file_path").alias("path"), "id", "content")
+
+
+def _context(t: Tables) -> tuple[analyze.Knowledge, context.ContextIndex]:
+    """The index as it is read again after it was written."""
+    k = _known(t)
+    root = f"{shared_folder(t.spark)}/context-{uuid.uuid4().hex}"
+    context.built(k.chunks, k.edges, k.entry_points, k.metadata).save(root)
+    return k, context.load(t.spark, root)
+
+
+@query(f"WITH {_P}, {_CHUNK} SELECT count(*) AS chunks, count(*) FILTER (chunk_type = 'entrypoint') AS entry_chunks, (SELECT string_agg(x, ',' ORDER BY x) FROM (SELECT chunk_type || '=' || count(*) AS x FROM c GROUP BY chunk_type)) AS chunk_types, round(avg(importance), 4) AS importance, (SELECT count(*) FROM s WHERE lang = 'Python') * 2 + (SELECT count(*) FROM s WHERE lang = 'Go') AS relations, (SELECT count(*) FILTER (lang = 'Python') * 2 + count(*) FILTER (lang = 'Go') FROM s) AS entry_points, (SELECT count(DISTINCT g) FROM (SELECT unnest(string_split(tags, ',')) AS g FROM c)) AS tags FROM c")
+def context_stats(t: Tables) -> DataFrame:
+    _, index = _context(t)
+    kinds = F.array_join(F.transform(F.map_entries("chunk_types"), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("chunk_types")
+    return index.stats().select("chunks", "entry_chunks", kinds, F.round("importance", 4).alias("importance"), "relations", "entry_points", "tags")
+
+
+@query(f"WITH {_CHUNK} SELECT path AS file_path, id FROM c WHERE list_contains(string_split(tags, ','), 'database')")
+def context_by_tag(t: Tables) -> DataFrame:
+    return _context(t)[1].by_tag("database").select("file_path", "id")
+
+
+@query(f"WITH {_P} SELECT 'func_create_' || k AS of, 'func_clean_' || o.m AS id, o.path AS file_path FROM s JOIN (SELECT m, path FROM s WHERE lang = 'Python') o USING (m) WHERE lang = 'Python'")
+def context_related(t: Tables) -> DataFrame:
+    """What the functions that create things refer to, in every file that has it."""
+    k, index = _context(t)
+    return index.related(k.functions.where("name LIKE 'create%'").select("id")).select("of", "id", "file_path")
+
+
+@query(f"SELECT path, '// File: ' || path || chr(10) || '// Type: Entrypoint' || chr(10) || '// Name: main' || chr(10) || '// [ENTRY POINT]' || chr(10) || chr(10) || content AS text FROM ({_rows({'Python': [_CONTENT['Python'][0]]}, ['id', 'content'])}) UNION ALL SELECT path, '// File: ' || path || chr(10) || '// Type: Class' || chr(10) || '// Name: pair_' || regexp_extract(id, '[0-9]+$') || chr(10) || chr(10) || chr(10) || content FROM ({_rows({'C': [_CONTENT['C'][0]]}, ['id', 'content'])})")
+def context_formatted(t: Tables) -> DataFrame:
+    """Chunks as a prompt shows them."""
+    _, index = _context(t)
+    wanted = (F.col("name") == "main") & F.col("file_path").endswith(".py") | F.startswith("name", F.lit("pair_"))
+    return index.chunks.where(wanted).select(F.col("file_path").alias("path"), context.formatted().alias("text"))
+
+
+# --- retrieval and answers -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_P} SELECT query_id, file, id, max(score) AS score FROM (SELECT k AS query_id, path AS file, 'func_create_' || k AS id, 120.0 AS score FROM s WHERE lang = 'Python' UNION ALL SELECT k, path, 'func_clean_' || m, 93.5 FROM s WHERE lang = 'Python' UNION ALL SELECT k, path, 'struct_Box' || k, 118.0 FROM s WHERE lang = 'Go') GROUP BY ALL UNION ALL SELECT -1, file, id, max(score) FROM (SELECT path AS file, 'method_Store' || k || '_save' AS id, 113.0 AS score FROM s WHERE lang = 'Python' UNION ALL SELECT path, 'class_Store' || k, 95.0 FROM s WHERE lang = 'Python' UNION ALL SELECT path, 'method_Box' || k || '_Save', 113.0 FROM s WHERE lang = 'Go' UNION ALL SELECT path, 'struct_Box' || k, 95.0 FROM s WHERE lang = 'Go') GROUP BY ALL")
+def kb_exact(t: Tables) -> DataFrame:
+    """Names looked up in the knowledge tables, with what belongs to them: functions and what they call, classes, methods and their classes."""
+    k = _known(t)
+    names = t.supplier.where("s_suppkey % 4 <> 3").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("BOX"), F.col("s_suppkey").cast("string"))).otherwise(F.concat(F.lit("create_"), F.col("s_suppkey").cast("string"))).alias("name"))
+    save = t.spark.createDataFrame([(-1, "save")], "query_id long, name string")
+    return retrieve.kb_lookup(names.unionByName(save), k.functions, k.classes).select("query_id", "file", "id", F.col("score").cast("double").alias("score"))
+
+
+@query(f"WITH {_P} SELECT k AS query_id, 'location' AS type, CASE lang WHEN 'Python' THEN 'Function create_' || k || ' is at ' || path || ':20' WHEN 'Go' THEN 'Type Box' || k || ' is at ' || path || ':13' ELSE 'Function add_' || k || ' is at ' || path || ':12' END AS answer FROM s")
+def route_locations(t: Tables) -> DataFrame:
+    """Where each file's function or type is, by question."""
+    kind = F.col("s_suppkey") % 4
+    name = F.when(kind == 2, S.filled("Box{k}")).when(kind == 3, S.filled("add_{k}")).otherwise(S.filled("create_{k}"))
+    asked = t.supplier.select(F.col("s_suppkey").alias("query_id"), F.concat(F.lit("where is "), name, F.lit(" ?")).alias("question"))
+    k = _known(t)
+    found = router.classified(asked, k.functions_by_name.select("key").unionByName(k.types_by_name.select("key")))
+    return found.select("query_id", "type").join(router.locations(found.where("type = 'location'"), k.functions_by_name, k.types_by_name), "query_id")
+
+
+@query(f"WITH {_P} SELECT k AS query_id, CASE lang WHEN 'Python' THEN 'create_' || k || ' calls func_clean_' || m || '; called by func_main' ELSE 'Box' || k || ' calls nothing; called by func_main' END AS answer FROM s WHERE lang <> 'C'")
+def route_usages(t: Tables) -> DataFrame:
+    """What calls and is called by functions, and by the methods of types."""
+    name = F.when(F.col("s_suppkey") % 4 == 2, S.filled("Box{k}")).otherwise(S.filled("create_{k}"))
+    asked = t.supplier.where("s_suppkey % 4 <> 3").select(F.col("s_suppkey").alias("query_id"), name.alias("entity"))
+    k = _known(t)
+    return router.usages(asked, k.edges, k.functions, k.functions_calling, k.types_by_name)
+
+
+@query(f"WITH {_P} SELECT k AS query_id, 'create_' || k || ' depends on func_clean_' || m || '; through them on nothing; needed by func_main' AS answer FROM s WHERE lang = 'Python'")
+def route_dependencies(t: Tables) -> DataFrame:
+    asked = t.supplier.where("s_suppkey % 4 < 2").select(F.col("s_suppkey").alias("query_id"), S.filled("create_{k}").alias("entity"))
+    k = _known(t)
+    return router.dependencies(asked, k.edges, k.functions)
+
+
+@query(f"WITH {_P} SELECT k AS query_id, CASE k % 2 WHEN 0 THEN 'Defined: create_' || k || ' at ' || path || ':20' ELSE 'create_' || k || ' calls ValueError, clean_' || m || ' in ' || path || ', log_error, notify_' || k || ', range' END AS facts FROM s WHERE lang = 'Python'")
+def route_facts(t: Tables) -> DataFrame:
+    """What goes before the context of questions on implementation and on the flow of data."""
+    k = _known(t)
+    asked = t.supplier.where("s_suppkey % 4 < 2").select(F.col("s_suppkey").alias("query_id"), F.when(F.col("s_suppkey") % 2 == 0, "implementation").otherwise("dataflow").alias("type"), F.array(S.filled("create_{k}")).alias("symbols"), S.filled("create_{k}").alias("entity"))
+    return router.facts_of(asked, k).select("query_id", "facts")
+
+
+# --- exchange, snapshots, embedding ----------------------------------------------------------------------------------
+
+_MAGIC = b"VECS"
+_ENDS = "round(CAST(embedding[1] AS DOUBLE), 6) AS first, round(CAST(embedding[len(embedding)] AS DOUBLE), 6) AS last, len(embedding) AS size"
+
+
+def _ends(*columns: str) -> list:
+    return [*columns, F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.element_at("embedding", -1).cast("double"), 6).alias("last"), F.size("embedding").cast("long").alias("size")]
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS id, {_ENDS} FROM embeddings")
+def store_files(t: Tables) -> DataFrame:
+    """Vectors written as store files by all tasks, and read again."""
+    root = f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}"
+    codec.write_stores(t.embeddings.withColumnRenamed("vec_id", "id").repartition(3), root)
+    return codec.read_stores(t.spark, root).select(*_ends("id"))
+
+
+@query(f"SELECT 'm' AS model, {_ENDS}, count(*) AS n FROM embeddings GROUP BY ALL")
+def index_files(t: Tables) -> DataFrame:
+    """Vectors written as index files, which have no ids, and read again."""
+    root = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
+    codec.write_indices(t.embeddings, root, "m", _MAGIC)
+    return codec.read_indices(t.spark, root, _MAGIC).select(*_ends("model")).groupBy("model", "first", "last", "size").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'd' || doc_id AS path, 'same' AS change FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'd' || doc_id, 'deleted' FROM documents WHERE lang = 'fr'")
+def snapshot_files(t: Tables) -> DataFrame:
+    """A state that was saved and loaded, against a later one without French files."""
+    path = f"{shared_folder(t.spark)}/snapshot-{uuid.uuid4().hex}"
+    files = t.documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"), "lang")
+    checksum.save(checksum.file_hashes(files), path)
+    return checksum.compared(checksum.load(t.spark, path), checksum.file_hashes(files.where("lang <> 'fr'")))
+
+
+@query("SELECT doc_id AS id, CAST(strlen(text) AS DOUBLE) AS bytes, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces FROM documents")
+def embed_batches(t: Tables) -> DataFrame:
+    """Embedding in batches by a stand-in for a model: bytes and spaces of a text."""
+    encoder = lambda: lambda texts: np.array([[len(x.encode()), x.count(" ")] for x in texts], np.float32)
+    found = embed.embedded(t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), encoder)
+    return found.select("id", F.get("embedding", F.lit(0)).cast("double").alias("bytes"), F.get("embedding", F.lit(1)).cast("double").alias("spaces"))
+
+
+@query("SELECT query, CASE WHEN contains(query, '1') THEN 'old ' || query END AS response FROM (SELECT c_name AS query FROM customer)")
+def cache_by_type(t: Tables) -> DataFrame:
+    """Entries whose time depends on the question's type: a day later only those of the type with two days are left."""
+    start, later = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:00:00", "2024-01-02 12:00:00"))
+    asked = t.customer.select(F.col("c_name").alias("query"))
+    answers = asked.select("query", F.concat(F.lit("old "), "query").alias("response"), F.lit("h").alias("checksum_hash"), F.when(F.contains("query", F.lit("1")), "location").otherwise("usage").alias("type"))
+    kept = cache.entries(answers, start, {"location": 48, "": 24})
+    return cache.hits(asked, kept, F.lit("h"), later).select("query", "response")
+
+
+@query("SELECT label AS kind, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1) AS share FROM embeddings GROUP BY label")
+def kind_distribution(t: Tables) -> DataFrame:
+    """How many chunks of each kind an index has."""
+    return diagnostics.kinds(t.embeddings, "label")

@@ -15,9 +15,16 @@ def query_hash(query: Column) -> Column:
     return F.sha2(query, 256)
 
 
-def entries(answers: DataFrame, now: Column, hours: int = 24) -> DataFrame:
-    """Entries of answers (query, response, checksum_hash) that end after ``hours``."""
-    return answers.select(query_hash(F.col("query")).alias("query_hash"), "query", "response", "checksum_hash", now.alias("created_at"), F.timestamp_add("HOUR", F.lit(hours), now).alias("expires_at"))
+def entries(answers: DataFrame, now: Column, hours: dict[str, int] | int = 24) -> DataFrame:
+    """Entries of answers (query, response, checksum_hash) that end after ``hours``; a dict gives them by the column ``type``, with a default under ""."""
+    if isinstance(hours, dict):
+        known = F
+        for kind, n in hours.items():
+            known = known.when(F.col("type") == kind, n) if kind else known
+        last = known.otherwise(hours.get("", 24)) if known is not F else F.lit(hours.get("", 24))
+    else:
+        last = F.lit(hours)
+    return answers.select(query_hash(F.col("query")).alias("query_hash"), "query", "response", "checksum_hash", now.alias("created_at"), F.timestamp_add("HOUR", last, now).alias("expires_at"))
 
 
 def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:

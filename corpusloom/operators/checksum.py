@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,12 @@ def staleness(share: Column, warn: float = 0.10, refuse: float = 0.30) -> Column
 def missing(required: DataFrame, present: DataFrame) -> DataFrame:
     """Required paths that aren't there."""
     return required.join(present, "path", "left_anti")
+
+
+def save(hashes: DataFrame, path: str) -> None:
+    """A state of the sources, to be compared with later ones."""
+    hashes.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("path string, hash string, lines long").parquet(path)

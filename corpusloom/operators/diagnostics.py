@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,20 @@ def with_symbol(chunks: DataFrame, symbol: str, columns: tuple[str, ...] = ("nam
 def run_report(files: DataFrame) -> DataFrame:
     """Parsed and failed files by language."""
     return files.groupBy("lang").agg(F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("loc").alias("loc"))
+
+
+def kinds(chunks: DataFrame, by: str = "chunk_type") -> DataFrame:
+    """(kind, n, share in percent) of each kind of chunk."""
+    counts = chunks.groupBy(F.col(by).alias("kind")).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("_all")))).select("kind", "n", F.round(100.0 * F.col("n") / F.col("_all"), 1).alias("share"))
+
+
+def stored(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(path, bytes, files) of stored tables and indices; a folder that isn't there has null bytes and no files."""
+    rows = []
+    for folder in folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.getContentSummary(path) if fs.exists(path) else None
+        rows.append((folder, found.getLength() if found else None, found.getFileCount() if found else 0))
+    return spark.createDataFrame(rows, "path string, bytes long, files long")

@@ -218,19 +218,19 @@ def test_changes(spark):
 def test_codec(spark, tmp_path):
     import numpy as np
 
-    v = np.arange(6, dtype=np.float32).reshape(2, 3)
-    model, again = codec.read_index(codec.index_bytes(v, "módel"))
+    v, M = np.arange(6, dtype=np.float32).reshape(2, 3), b"VECS"
+    model, again = codec.read_index(codec.index_bytes(v, "módel", M), M)
     assert model == "módel" and (again == v).all()
-    old = codec.MAGIC + bytes([1, 0, 0, 0, 2, 0, 0, 0, 3, 0, 0, 0]) + v.tobytes()
-    assert codec.read_index(old)[0] == "" and (codec.read_index(old)[1] == v).all()
-    for bad in (b"", b"XXXXYYYYZZZZ", codec.index_bytes(v, "m")[:-1]):
+    old = M + bytes([1, 0, 0, 0, 2, 0, 0, 0, 3, 0, 0, 0]) + v.tobytes()
+    assert codec.read_index(old, M)[0] == "" and (codec.read_index(old, M)[1] == v).all()
+    for bad in (b"", b"XXXXYYYYZZZZ", codec.index_bytes(v, "m", M)[:-1], codec.index_bytes(v, "m", b"OTHR")):
         with pytest.raises(ValueError):
-            codec.read_index(bad)
+            codec.read_index(bad, M)
     store = {"a": v[0], "é": v[1]}
     assert {k: x.tolist() for k, x in codec.read_store(codec.store_bytes(store)).items()} == {k: x.tolist() for k, x in store.items()}
     assert codec.read_store(codec.store_bytes({})) == {}
-    (tmp_path / "v.bin").write_bytes(codec.index_bytes(v, "m"))
-    assert [tuple(r)[1:] for r in codec.read_indices(spark, str(tmp_path)).collect()] == [("embedding_0", [0.0, 1.0, 2.0], "m"), ("embedding_1", [3.0, 4.0, 5.0], "m")]
+    (tmp_path / "v.bin").write_bytes(codec.index_bytes(v, "m", M))
+    assert [tuple(r)[1:] for r in codec.read_indices(spark, str(tmp_path), M).collect()] == [("embedding_0", [0.0, 1.0, 2.0], "m"), ("embedding_1", [3.0, 4.0, 5.0], "m")]
 
 
 def test_config(tmp_path):
@@ -251,6 +251,12 @@ def test_stream(spark, tmp_path):
     run()
     put(2, [("a.py", "def f2():\n    g()\n", "Python", 2, now + datetime.timedelta(minutes=1)), ("b.py", "x = 1\n", "Python", 1, now + datetime.timedelta(minutes=1))])
     run()
-    got = {r["path"]: [f["name"] for f in r["functions"]] for r in incremental.current(spark, out).collect()}
-    assert got == {"a.py": ["f2"], "b.py": []}
+    got = lambda: {r["path"]: [f["name"] for f in r["functions"]] for r in incremental.current(spark, out).collect()}
+    assert got() == {"a.py": ["f2"], "b.py": []}
     assert spark.read.parquet(out).count() == 3
+    # Changed back to what it was: a change too; and a late version from before the last one is none.
+    put(3, [("a.py", "def f():\n    g()\n", "Python", 2, now + datetime.timedelta(minutes=2))])
+    run()
+    put(4, [("a.py", "def f9():\n    g()\n", "Python", 2, now + datetime.timedelta(seconds=30))])
+    run()
+    assert got() == {"a.py": ["f"], "b.py": []} and spark.read.parquet(out).count() == 4
