@@ -1,6 +1,7 @@
 """A small tree in three languages, from files to answers."""
 
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,23 @@ def test_language(spark):
     assert got == ["Python", "TypeScript", "Rust", "C", "Go", "JavaScript", "Python", "JavaScript", "Go", None]
 
 
+def test_language_by_lines(spark):
+    """The first sign in the order of languages counts, not of lines; signs are tied to a line's start, CR and 50 lines included."""
+    long = "x" * 4000
+    cases = [
+        ("a => b\nimport os\r\n", "Python"), ("func f\n  let x", "JavaScript"), ("  key: string", "TypeScript"), ("a b: string", None), (f"{long}: number", "TypeScript"), (f"{long}: numbers", None), ("import os x", None), ("\t\tdef f(", "Python"),
+        ("x\n" * 49 + "fn x", "Rust"), ("x\n" * 50 + "fn x", None), (" package a", None), ("package ", None), ("#!/bin/sh\nint main(", "C"), ("#!/usr/bin/Python", "Python"), ("\n#!python", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c string")
+    assert [r["l"] for r in df.select("i", S.language(F.lit("u"), F.col("c")).alias("l")).orderBy("i").collect()] == [want for _, want in cases]
+
+
+def test_language_of_long_lines_is_bounded():
+    """No sign runs over a line that lacks its text: each pattern without one begins with fixed words, none gives anything back."""
+    for _, held, start in S.CONTENT:
+        assert not re.search(r"\\w[+*](?!\+)", start) and (held or not start.startswith(r"^\s*+\w"))
+
+
 def test_ignore_rules(spark):
     cases = [("docs/a.py", ["docs/"], True), ("x/docs/a.py", ["docs/"], True), ("x/docs/a.py", ["/docs/"], False), ("a/b.py", ["b.py"], True), ("a/b.py", ["b.py", "!b.py"], False), ("a/b.py", ["!b.py", "b.py"], True), ("docs", ["docs/"], False), ("a/x/y.py", ["x/y.py"], True), ("a.py", ["", "# a.py"], False)]
     for path, rules, want in cases:
