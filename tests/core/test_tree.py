@@ -121,6 +121,20 @@ def test_language_of_long_lines_is_bounded():
         assert not re.search(r"\\w[+*](?!\+)", start) and (held or not start.startswith(r"^\s*+\w"))
 
 
+def test_callers_are_stored_once_a_name(spark):
+    """Forty files define and call one name: 40 callers in one row, not in each of 40; the first five and their number are as in the whole list."""
+    files = spark.createDataFrame([(f"f{i:02}.py", f"def save():\n    pass\n\n\ndef main():\n    save()\n    only_{i % 3}()\n", "Python", 7) for i in range(40)], "path string, content string, lang string, loc long")
+    parsed = S.parsed(files).localCheckpoint()
+    k = A.tables(files.select("path", "lang", "loc"), parsed, facts.located(parsed))
+    assert "called_by" not in k.located.columns
+    assert [(r["name"], len(r["called_by"])) for r in k.callers.collect()] == [("save", 40)]
+    assert {(r["name"], len(r["called_by"])) for r in k.functions.collect()} == {("save", 40), ("main", 0)} and k.functions.count() == 80
+    counts = facts.call_counts(k.located).collect()
+    assert [(r["name"], r["callers"], r["first_callers"]) for r in counts] == [("save", 40, k.callers.first()["called_by"][:5])]
+    text = k.chunks.where("name = 'save'").first()["content"]
+    assert "Called by:\n  - main in f00.py\n  - main in f01.py\n" in text and "  ... and 35 more\n" in text
+
+
 def test_ignore_rules(spark):
     cases = [("docs/a.py", ["docs/"], True), ("x/docs/a.py", ["docs/"], True), ("x/docs/a.py", ["/docs/"], False), ("a/b.py", ["b.py"], True), ("a/b.py", ["b.py", "!b.py"], False), ("a/b.py", ["!b.py", "b.py"], True), ("docs", ["docs/"], False), ("a/x/y.py", ["x/y.py"], True), ("a.py", ["", "# a.py"], False)]
     for path, rules, want in cases:
