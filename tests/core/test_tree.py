@@ -135,6 +135,15 @@ def test_callers_are_stored_once_a_name(spark):
     assert "Called by:\n  - main in f00.py\n  - main in f01.py\n" in text and "  ... and 35 more\n" in text
 
 
+def test_pairs_of_a_hot_name_are_dealt_out(spark):
+    """Two hundred calls, one of them twice, of a name with 200 definitions: all pairs, on many tasks; null names and other names make none."""
+    left = spark.createDataFrame([("save", f"a{i}") for i in range(200)] + [("save", "a0"), (None, "x"), ("other", "y")], "name string, src string")
+    right = spark.createDataFrame([("save", f"b{i}") for i in range(200)] + [(None, "z")], "name string, dst string")
+    found = graph.paired(left, right)
+    assert found.count() == 201 * 200 and found.distinct().count() == 200 * 200
+    assert found.select(F.spark_partition_id()).distinct().count() > 16
+
+
 def test_ignore_rules(spark):
     cases = [("docs/a.py", ["docs/"], True), ("x/docs/a.py", ["docs/"], True), ("x/docs/a.py", ["/docs/"], False), ("a/b.py", ["b.py"], True), ("a/b.py", ["b.py", "!b.py"], False), ("a/b.py", ["!b.py", "b.py"], True), ("docs", ["docs/"], False), ("a/x/y.py", ["x/y.py"], True), ("a.py", ["", "# a.py"], False)]
     for path, rules, want in cases:
