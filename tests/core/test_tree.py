@@ -301,3 +301,14 @@ def test_stream(spark, tmp_path):
     put(4, [("a.py", "def f9():\n    g()\n", "Python", 2, now + datetime.timedelta(seconds=30))])
     run()
     assert got() == {"a.py": ["f"], "b.py": []} and spark.read.parquet(out).count() == 4
+
+
+@pytest.mark.parametrize(("name", "joins"), [("kb_resolved", [0])])
+def test_queries_write_and_resolve_only_what_they_read(spark, tmp_path, monkeypatch, name, joins):
+    from corpusloom import code_queries, queries
+
+    spark.createDataFrame([(k, k % 3) for k in range(1, 9)], "s_suppkey long, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    written, write = [], code_queries._written
+    monkeypatch.setattr(code_queries, "_written", lambda df: written.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or write(df))
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() > 0
+    assert written == joins
