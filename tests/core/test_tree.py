@@ -303,7 +303,7 @@ def test_stream(spark, tmp_path):
     assert got() == {"a.py": ["f"], "b.py": []} and spark.read.parquet(out).count() == 4
 
 
-@pytest.mark.parametrize(("name", "joins"), [("kb_resolved", [0]), ("kb_metadata", [])])
+@pytest.mark.parametrize(("name", "joins"), [("kb_resolved", [0]), ("kb_metadata", []), ("kb_external", [])])
 def test_queries_write_and_resolve_only_what_they_read(spark, tmp_path, monkeypatch, name, joins):
     from corpusloom import code_queries, queries
 
@@ -312,3 +312,12 @@ def test_queries_write_and_resolve_only_what_they_read(spark, tmp_path, monkeypa
     monkeypatch.setattr(code_queries, "_written", lambda df: written.append(df._jdf.queryExecution().analyzed().toString().count("Join ")) or write(df))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() > 0
     assert written == joins
+
+
+def test_files_of_a_module_are_gathered_once(spark):
+    from corpusloom.operators import indices
+
+    imports = spark.createDataFrame([("a", "m", "external"), ("b", "m", "external"), ("b", "m", "external"), (None, "m", "external"), ("c", "os", "stdlib")], "path string, module string, type string")
+    found = indices.external_dependencies(imports)
+    assert [tuple(r) for r in found.collect()] == [("m", ["a", "b"], 2)]
+    assert "distinct" not in found._jdf.queryExecution().analyzed().toString()
