@@ -303,7 +303,7 @@ def test_stream(spark, tmp_path):
     assert got() == {"a.py": ["f"], "b.py": []} and spark.read.parquet(out).count() == 4
 
 
-@pytest.mark.parametrize(("name", "joins"), [("kb_resolved", [0]), ("kb_metadata", []), ("kb_external", [])])
+@pytest.mark.parametrize(("name", "joins"), [("kb_resolved", [0]), ("kb_metadata", []), ("kb_external", []), ("kb_entry_points", [0])])
 def test_queries_write_and_resolve_only_what_they_read(spark, tmp_path, monkeypatch, name, joins):
     from corpusloom import code_queries, queries
 
