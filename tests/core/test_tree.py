@@ -303,7 +303,21 @@ def test_stream(spark, tmp_path):
     assert got() == {"a.py": ["f"], "b.py": []} and spark.read.parquet(out).count() == 4
 
 
-@pytest.mark.parametrize(("name", "joins"), [("kb_resolved", [0]), ("kb_metadata", []), ("kb_external", []), ("kb_entry_points", [0])])
+def test_children_of_a_node_are_found_once(monkeypatch):
+    import ast
+
+    from corpusloom.sources import parse_python
+
+    seen, source = [], "def f(a):\n    if a or g(a):\n        for i in h(a):\n            k(i)\n    return a\n"
+    each = parse_python._children
+    monkeypatch.setattr(parse_python, "_children", lambda node: seen.append(id(node)) or each(node))
+    found = parse_python.parse(source)["functions"][0]
+    assert [c["callee"] for c in found["calls"]] == ["g", "h", "k"] and found["complexity"] == 4
+    function = ast.parse(source).body[0]
+    assert len(seen) == sum(bool(n._fields) for n in ast.walk(function) if not isinstance(n, ast.boolop))
+
+
+@pytest.mark.parametrize(("name", "joins"), [("kb_metadata", []), ("kb_external", []), ("kb_entry_points", [0]), ("kb_resolved", [0]), ("kb_nodes", [0, 0]), ("kb_exact", [0, 3])])
 def test_queries_write_and_resolve_only_what_they_read(spark, tmp_path, monkeypatch, name, joins):
     from corpusloom import code_queries, queries
 
