@@ -94,13 +94,15 @@ def facts_of(asked: DataFrame, k) -> DataFrame:
     implementation: where the names in the question are; architecture: the calls between files, most frequent first;
     dataflow: what the entity calls, with the file of each.
     """
-    places = k.located.select(F.col("name").alias("symbol"), F.concat("path", F.lit(":"), F.col("line_start").cast("string")).alias("at")).unionByName(k.classes.select(F.col("name").alias("symbol"), F.concat("path", F.lit(":"), F.col("line_start").cast("string")).alias("at")))
+    # Callers aren't asked for, so the table without them is read where there is one.
+    functions = k.located if hasattr(k, "located") else k.functions
+    places = functions.select(F.col("name").alias("symbol"), F.concat("path", F.lit(":"), F.col("line_start").cast("string")).alias("at")).unionByName(k.classes.select(F.col("name").alias("symbol"), F.concat("path", F.lit(":"), F.col("line_start").cast("string")).alias("at")))
     named = asked.where("type = 'implementation'").select("query_id", F.explode("symbols").alias("symbol")).join(places, "symbol").groupBy("query_id", "symbol").agg(F.array_sort(F.collect_set("at")).alias("at"))
     found = named.groupBy("query_id").agg(F.concat(F.lit("Defined: "), F.array_join(F.array_sort(F.collect_list(F.concat("symbol", F.lit(" at "), F.array_join("at", ", ")))), "; ")).alias("facts"))
-    called = k.located.select(F.col("path").alias("src"), F.explode("calls").alias("c")).where("c.defined_in IS NOT NULL AND c.defined_in <> src").groupBy("src", F.col("c.defined_in").alias("dst")).agg(F.count("*").alias("n"))
+    called = functions.select(F.col("path").alias("src"), F.explode("calls").alias("c")).where("c.defined_in IS NOT NULL AND c.defined_in <> src").groupBy("src", F.col("c.defined_in").alias("dst")).agg(F.count("*").alias("n"))
     most = called.orderBy(F.desc("n"), "src", "dst").limit(ADJACENT).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("_o"), "src", "dst", "n"))).alias("e"))
     between = asked.where("type = 'architecture'").select("query_id").crossJoin(F.broadcast(most)).where(F.size("e") > 0).select("query_id", F.concat(F.lit("Calls between files: "), F.array_join(F.transform("e", lambda x: F.concat(x["src"], F.lit(" to "), x["dst"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), "; ")).alias("facts"))
-    callees = k.located.select(F.col("name").alias("entity"), F.explode("calls").alias("c")).select("entity", F.concat("c.callee", F.coalesce(F.concat(F.lit(" in "), "c.defined_in"), F.lit(""))).alias("n"))
+    callees = functions.select(F.col("name").alias("entity"), F.explode("calls").alias("c")).select("entity", F.concat("c.callee", F.coalesce(F.concat(F.lit(" in "), "c.defined_in"), F.lit(""))).alias("n"))
     flow = asked.where("type = 'dataflow'").select("query_id", "entity").join(callees, "entity").groupBy("query_id", "entity").agg(F.array_sort(F.collect_set("n")).alias("n")).select("query_id", F.concat("entity", F.lit(" calls "), F.array_join("n", ", ")).alias("facts"))
     return found.unionByName(between).unionByName(flow)
 
